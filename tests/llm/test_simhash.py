@@ -47,7 +47,7 @@ def test_index_matches_brute_force():
     assert got == want
 
 
-@pytest.mark.parametrize("block_rows", [16, 8192])
+@pytest.mark.parametrize("block_rows", [2, 16, 8192])
 def test_components(spark, block_rows):
     random.seed(3)
     fps = [0]

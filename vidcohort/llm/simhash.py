@@ -30,7 +30,7 @@ from vidcohort.llm.common import connected_components, cut, read_table
 #: Bits of the three leading parts; with at most four differences one part has at most one.
 PARTS = (21, 21, 22)
 MAX_BITS = 4
-#: Members of a block beyond which it is dealt in chunks, compared chunk by chunk.
+#: Four times the usual number of members of a block.
 BLOCK_ROWS = 8192
 FANOUT = 8
 
@@ -156,8 +156,8 @@ def links(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b) pairs of representatives that connect all fingerprints within ``MAX_BITS`` bits.
 
     ``distinct`` has fp and rep (a smallest doc_id), one row a fingerprint. The blocks hold about a
-    quarter of ``block_rows`` each; a fuller one is dealt in chunks by hash and each pair of chunks
-    is one group, so that no group is unbounded.
+    quarter of ``block_rows`` each, visitors not counted; one with over eight times ``block_rows`` is
+    dealt in chunks by hash and each pair of chunks is one group, so that no group is unbounded.
     """
     n = distinct.count()
     bits = min(min(PARTS), max(0, math.ceil(math.log2(max(n, 1) * 4 / block_rows))))
@@ -173,8 +173,9 @@ def links(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     else:
         rows = rows.withColumn("at", F.lit(0).cast("long")).withColumn("block", F.col("at"))
     rows = rows.select("r", "block", "rep", "code", (F.col("block") == F.col("at")).alias("home"))
-    crowded = rows.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    crowded = crowded.withColumn("chunks", F.ceil(F.col("n") / (block_rows // 2)).cast("int"))
+    most = 8 * block_rows  # a usual block has up to (1 + bits / 2) * block_rows / 4, visitors included
+    crowded = rows.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    crowded = crowded.withColumn("chunks", F.ceil(F.col("n") / (most // 2)).cast("int"))
     rows = rows.join(crowded.drop("n"), ["r", "block"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))

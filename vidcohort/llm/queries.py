@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vidcohort.llm import linededup
+from vidcohort.llm.bpe import op7_bpe
+from vidcohort.llm.langid import op10_langid
+from vidcohort.llm.lmscore import op9_lmscore
 from vidcohort.llm.simhash import op1_simhash
+from vidcohort.llm.suffixdedup import op3_suffixdedup
+from vidcohort.llm.toxicity import op2_toxicity
+from vidcohort.llm.urlfilter import op6_urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_toxicity": op2_toxicity,
+        "op3_suffixdedup": op3_suffixdedup,
+        "op6_urlfilter": op6_urlfilter,
+        "op7_bpe": op7_bpe,
+        "op8_linededup": linededup.op8_linededup,
+        "op9_lmscore": op9_lmscore,
+        "op10_langid": op10_langid,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_linededup": linededup.ORACLE_SQL}

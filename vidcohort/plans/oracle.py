@@ -273,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
     counted = "CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN ' ' || event_id || ' ' WHEN 2 THEN event_id || '.7' ELSE 'x' || event_id END"
     return {
         "safe_int": f"SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_id ELSE 0 END AS n FROM (SELECT event_id, {counted} AS x FROM events)",
-        "clean_text": r"SELECT page_id, md5(regexp_replace(replace(replace(replace(regexp_replace(html, '<.*?>', '', 'g'), '&amp;', '&'), '&quot;', '""'), '&#39;', ''''), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM pages".replace('\'""\'', "'\"'"),
+        "clean_text": """SELECT page_id, md5(regexp_replace(replace(replace(replace(regexp_replace(html, '<.*?>', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '^\\s+|\\s+$', '', 'g')) AS clean_md5 FROM pages""",
         "video_id_loose": sql(URLS, f"SELECT page_id, {LOOSE} AS video_id FROM urls"),
         "video_id_strict": sql(URLS, f"SELECT page_id, {STRICT} AS video_id FROM urls"),
         "canonical_url": sql(URLS, f"SELECT page_id, {q(t.WATCH)} || {STRICT} AS url, CASE WHEN page_id % 8 = 7 THEN 'invalid_youtube_url' END AS error_type FROM urls"),

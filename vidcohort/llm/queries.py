@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from vidcohort.llm import linededup
 from vidcohort.llm.bpe import op7_bpe
+from vidcohort.llm.decontam import op4_decontam
 from vidcohort.llm.langid import op10_langid
 from vidcohort.llm.lmscore import op9_lmscore
+from vidcohort.llm.media import op5_media
 from vidcohort.llm.simhash import op1_simhash
 from vidcohort.llm.suffixdedup import op3_suffixdedup
 from vidcohort.llm.toxicity import op2_toxicity
@@ -21,11 +24,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op3_suffixdedup": op3_suffixdedup,
+        "op4_decontam": op4_decontam,
+        "op5_media": op5_media,
         "op6_urlfilter": op6_urlfilter,
         "op7_bpe": op7_bpe,
         "op8_linededup": linededup.op8_linededup,
         "op9_lmscore": op9_lmscore,
         "op10_langid": op10_langid,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -2,8 +2,8 @@
 
 Features of a text are the distinct first four, five and eight bytes of its words, hashed to a table
 of ``DIMS`` places. Confirmed toxic texts are the positives; unlabelled texts are all training texts,
-whatever their label. Only features that are clearly more frequent among the positives are used. A
-linear classifier is trained by Adam on the risk
+whatever their label. Only features that are more frequent among the positives than chance explains,
+by ``MIN_LIFT`` times at least, are used. A linear classifier is trained by Adam on the risk
 ``prior * R(P, +) + max(0, R(U, -) - prior * R(P, -))`` with the logistic loss; where the second part
 goes below zero its gradient is reversed, which keeps a flexible model from fitting the positives that
 hide among the unlabelled. The prior is the share of toxic texts among the labelled training texts.
@@ -28,7 +28,7 @@ from vidcohort.llm.common import fold_remainder, read_table
 BITS = 20
 DIMS = 1 << BITS
 MAX_POSITIVE, MAX_UNLABELLED, MAX_SHARDS = 8_000, 24_000, 4
-MIN_LIFT, MIN_TEXTS = 3.0, 3
+MIN_LIFT = 3.0
 CHUNK = 1 << 21
 
 _letter = np.zeros(256, bool)
@@ -75,8 +75,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     n_p, n_u = len(positive), len(unlabelled)
     in_p = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]), minlength=DIMS)
     in_u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]), minlength=DIMS)
-    lift = (in_p / max(1, n_p)) / ((in_u + 0.5) / (n_u + 1))
-    used = np.flatnonzero((in_p >= MIN_TEXTS) & (lift >= MIN_LIFT))
+    expected = n_p * (in_u + 0.5) / (n_u + 1)
+    lift = in_p / expected
+    # Chernoff bound on so many positives by chance, for as many features as were seen
+    chance = in_p * np.log(np.maximum(lift, 1)) - in_p + expected
+    used = np.flatnonzero((lift >= MIN_LIFT) & (chance >= np.log(max(2, (in_p > 0).sum()))))
     place = np.full(DIMS, -1)
     place[used] = np.arange(len(used))
 

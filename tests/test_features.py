@@ -101,3 +101,16 @@ def test_a_video_without_frames_still_votes_no_scene_change(spark):
     got = {r.video_id: r for r in features.feature_summary(videos, features.intro_features(frames)).collect()}
     assert got["b"].scene_change_count == 0 and got["b"].motion_level == "unknown"
     assert got["a"].pacing_level == "unknown" and got["a"].motion_level == "low" and got["a"].scene_type == "reaction"
+
+
+def test_report_status_and_warnings(spark):
+    """No member at all warns; a group of failed members only does not; a missing channel fails the row alone."""
+    users = summaries(spark, [summary(subject_id=i) for i in "abc"], ["subject_id"])
+    rows = [summary(subject_id="a", grp=g, pos=1, status="failed") for g in ("top", "lower")] + [summary(subject_id="b", grp="top", pos=1)]
+    context = spark.createDataFrame([("a", "success"), ("b", "success"), ("c", "failed")], "subject_id string, status string")
+    parts = report.contrast_parts(users, summaries(spark, rows, ["subject_id", "grp", "pos"]), users.select("subject_id"))
+    got = {r.subject_id: r for r in report.report(users.select("subject_id"), context, parts, {}).collect()}
+    assert got["a"].status == "success" and got["a"].warnings == []
+    assert got["b"].status == "partial" and got["b"].warnings == [report.NO_LOWER]
+    assert got["c"].status == "failed" and len(got["c"].warnings) == 2
+    assert all(len(r.feature_comparison) == 9 and r.recommendations == [] and r.confidence == "low" for r in got.values())

@@ -99,36 +99,49 @@ def feature_contrast(users: DataFrame, dominants: DataFrame) -> DataFrame:
     )
 
 
-def recommendations(contrast: DataFrame) -> DataFrame:
-    """A suggestion for each feature that a subject misses or that speaks against it."""
+def recommended() -> Column:
+    """Whether a row of the contrast gives a suggestion."""
+    return F.col("status").isin("missing_winning_feature", "risk_signal")
+
+
+def suggestion() -> list[Column]:
+    """The columns of a suggestion, from a row of the contrast."""
     say = lambda *parts: F.concat(*[F.col(p[1:]) if p[0] == "$" else F.lit(p) for p in parts])
-    return contrast.where(F.col("status").isin("missing_winning_feature", "risk_signal")).select(
-        "subject_id", "feature_ord", say("Experiment with ", "$label").alias("title"),
+    return [
+        F.col("feature_ord"), say("Experiment with ", "$label").alias("title"),
         say("Top benchmark intros most often showed '", "$top_dominant_value", "', while lower benchmark intros most often showed '", "$lower_dominant_value", "'. Your intro showed '", "$user_value", "'.").alias("evidence"),
         F.lit("This is an observed difference between benchmark groups. It does not establish cause, but it is worth testing.").alias("why_it_matters"),
         say("Test an opening segment closer to the top benchmark pattern for ", "$label", ".").alias("suggested_test"), F.lit("limited").alias("confidence"),
-    )
+    ]
+
+
+def recommendations(contrast: DataFrame) -> DataFrame:
+    """A suggestion for each feature that a subject misses or that speaks against it."""
+    return contrast.where(recommended()).select("subject_id", *suggestion())
 
 
 def confidence(subjects: DataFrame, members: DataFrame, contrast: DataFrame) -> DataFrame:
-    """(subject_id, top_count, lower_count, usable, confidence, confidence_reason); members (subject_id, grp, status)."""
-    fine = members.where(F.coalesce("status", F.lit("")) != "failed")
-    n = fine.groupBy("subject_id").agg(F.count_if(F.col("grp") == "top").alias("top_count"), F.count_if(F.col("grp") == "lower").alias("lower_count"))
-    usable = contrast.groupBy("subject_id").agg(F.count_if(F.col("status").isin(SIGNALS)).alias("usable"))
-    rows = subjects.select("subject_id").join(n, "subject_id", "left").join(usable, "subject_id", "left").fillna(0, ["top_count", "lower_count", "usable"])
+    """(subject_id, top_count, lower_count, n_top, n_lower, usable, aligned, missing, risks, confidence, confidence_reason).
+
+    ``members`` has subject_id, grp and status; failed ones count in n_top and n_lower only. The contrast is grouped once, for this and for the verdict.
+    """
+    fine = F.coalesce("status", F.lit("")) != "failed"
+    sides = [(g, F.col("grp") == g) for g in ("top", "lower")]
+    n = members.groupBy("subject_id").agg(*[F.count_if(x & fine).alias(f"{g}_count") for g, x in sides], *[F.count_if(x).alias(f"n_{g}") for g, x in sides])
+    of = lambda *kinds: F.count_if(F.col("status").isin(*kinds))
+    counts = contrast.groupBy("subject_id").agg(
+        of(*SIGNALS).alias("usable"), of("aligned_with_top").alias("aligned"), of("missing_winning_feature").alias("missing"), of("risk_signal").alias("risks"),
+    )
+    rows = subjects.select("subject_id").join(n, "subject_id", "left").join(counts, "subject_id", "left")
+    rows = rows.fillna(0, ["top_count", "lower_count", "n_top", "n_lower", "usable", "aligned", "missing", "risks"])
     t, low, u = F.col("top_count"), F.col("lower_count"), F.col("usable")
     level = F.when((t >= 3) & (low >= 3) & (u >= 2), "moderate").when((t >= 2) & (low >= 2) & (u >= 1), "limited").otherwise("low")
     reasons = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
     return rows.withColumn("confidence", level).withColumn("confidence_reason", reasons[F.col("confidence")])
 
 
-def verdict(levels: DataFrame, contrast: DataFrame) -> DataFrame:
-    """(subject_id, aligned, missing, risks, final_verdict)."""
-    n = contrast.groupBy("subject_id").agg(
-        F.count_if(F.col("status") == "aligned_with_top").alias("aligned"), F.count_if(F.col("status") == "missing_winning_feature").alias("missing"),
-        F.count_if(F.col("status") == "risk_signal").alias("risks"),
-    )
-    rows = levels.select("subject_id", "confidence").join(n, "subject_id", "left").fillna(0, ["aligned", "missing", "risks"])
+def verdict(levels: DataFrame) -> DataFrame:
+    """(subject_id, aligned, missing, risks, final_verdict) from the table of ``confidence``."""
     s = lambda c: F.col(c).cast("string")
     text = (
         F.when(F.col("confidence") == "low", "The available benchmark evidence is too limited for a clear position.")
@@ -137,4 +150,4 @@ def verdict(levels: DataFrame, contrast: DataFrame) -> DataFrame:
         .when(F.col("aligned") > 0, "Your intro aligns with the strongest actionable benchmark patterns the engine could reliably compare.")
         .otherwise("No clear actionable difference was found from the current benchmark evidence.")
     )
-    return rows.select("subject_id", "aligned", "missing", "risks", text.alias("final_verdict"))
+    return levels.select("subject_id", "aligned", "missing", "risks", text.alias("final_verdict"))

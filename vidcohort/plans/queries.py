@@ -23,7 +23,7 @@ def _cohorts(spark: SparkSession, sf: str, mode: str = "title") -> tuple[DataFra
 def _numbered(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     """Videos with the number of the intro that stands in for theirs."""
     users = table(spark, sf, "events").agg((F.max("user_id") + 1).alias("n"))
-    return rows.join(F.broadcast(users)).withColumn("video_no", F.col("k") % F.col("n"))
+    return rows.withColumn("video_no", F.col("k") % users.scalar())
 
 
 def _users(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,7 +246,7 @@ def recommendations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf)["confidence"]
+    return _parts(spark, sf)["confidence"].select("subject_id", "top_count", "lower_count", "usable", "confidence", "confidence_reason")
 
 
 def verdict(spark: SparkSession, sf: str) -> DataFrame:

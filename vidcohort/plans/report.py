@@ -30,20 +30,24 @@ def contrast_parts(users: DataFrame, members: DataFrame, subjects: DataFrame) ->
     dominant = contrast.dominant_values(features.feature_long(fine, ["subject_id", "grp", "pos"]))
     table = contrast.feature_contrast(features.feature_long(users, ["subject_id"]), dominant)
     levels = contrast.confidence(subjects, members, table)
-    return {"dominant": dominant, "contrast": table, "confidence": levels, "verdict": contrast.verdict(levels, table)}
+    return {"dominant": dominant, "contrast": table, "confidence": levels, "verdict": contrast.verdict(levels)}
 
 
-def report(subjects: DataFrame, context: DataFrame, parts: dict[str, DataFrame], members: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
+def report(subjects: DataFrame, context: DataFrame, parts: dict[str, DataFrame], sections: dict[str, DataFrame]) -> DataFrame:
     """One nested row a subject: status, warnings and a struct for each section.
 
     ``context`` has subject_id and status; a subject whose video or channel is missing has a failed row.
+    A group warns if it has no member at all; one with failed members only does not.
     """
-    n = members.groupBy("subject_id").agg(F.count_if(F.col("grp") == "top").alias("n_top"), F.count_if(F.col("grp") == "lower").alias("n_lower"))
-    items = F.struct("feature_ord", "feature", "label", "user_value", "status", "explanation")
-    comparison = parts["contrast"].groupBy("subject_id").agg(F.array_sort(F.collect_list(items)).alias("feature_comparison"))
-    tips = contrast.recommendations(parts["contrast"]).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("feature_ord", "title", "evidence", "suggested_test"))).alias("recommendations"))
+    levels = parts["confidence"].select("subject_id", "n_top", "n_lower", "confidence", "confidence_reason")
+    levels = levels.join(parts["verdict"].select("subject_id", "final_verdict"), "subject_id")
+    item = F.struct("feature_ord", "feature", "label", "user_value", "status", "explanation")
+    tip = F.when(contrast.recommended(), F.struct(*contrast.suggestion()))
+    listed = parts["contrast"].groupBy("subject_id").agg(
+        F.array_sort(F.collect_list(item)).alias("feature_comparison"), F.array_sort(F.collect_list(tip)).alias("recommendations")
+    )
     out = subjects.select("subject_id").join(context.select("subject_id", F.col("status").alias("context_status")), "subject_id", "left")
-    for df in (n, comparison, tips, parts["confidence"], parts["verdict"].select("subject_id", "final_verdict")):
+    for df in (levels, listed):
         out = out.join(df, "subject_id", "left")
     names = []
     for name, df in sections.items():
@@ -76,4 +80,4 @@ def run(subjects: DataFrame, videos: DataFrame, channels: DataFrame, recent: Dat
     own = texts(subjects.drop("channel_title").withColumn("channel_title", F.col("channel_id")), channels, narrative.top_titles(recent))
     keyed = lambda df: df.withColumnRenamed("video_id", "subject_id")
     sections = {"benchmark": cohort.cohort_summary(subjects, groups), "content_dna": keyed(narrative.content_dna(own)), "growth_snapshot": keyed(narrative.growth_snapshot(own)), "narrative": keyed(narrative.narrative(own))}
-    return report(subjects, context, parts, members, sections)
+    return report(subjects, context, parts, sections)

@@ -19,3 +19,5 @@ def test_offsets_and_odd_rows(spark):
     assert out[3].kept == "keep me" and [tuple(s) for s in out[3].removed] == [(0, 25)]
     assert out[2].kept == rows[1][1] and out[4].kept == "a\na\nb" and out[1].kept == "" and out[1].n_units == 1
     assert ld.cleaned(df.limit(0)).count() == 0
+    no_id = spark.createDataFrame([(None, line), (1, line)], "doc_id long, text string")
+    assert {(r.doc_id, r.kept) for r in ld.cleaned(no_id).collect()} == {(None, line), (1, line)}

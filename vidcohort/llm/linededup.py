@@ -6,7 +6,7 @@ position is kept and all later ones are removed. Offsets are those of the origin
 characters. Units under ``min_words`` words repeat by chance and are always kept.
 
 Null texts are empty texts: one empty unit, kept. Rows that repeat a doc_id rank by position only, so
-the same unit at the same position is kept in both.
+the same unit at the same position is kept in both. Rows without doc_id are neither compared nor changed.
 """
 
 from __future__ import annotations
@@ -46,9 +46,8 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         digests.append(d)
             yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "pos": np.array(pos, np.int32), "digest": digests})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, pos int, digest binary"
-    )
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInPandas(run, "doc_id long, pos int, digest binary")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

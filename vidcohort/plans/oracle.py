@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
       WHEN missing > 0 THEN 'Your intro misses ' || missing || ' top-benchmark pattern(s) and aligns with ' || aligned || ' top-benchmark pattern(s).'
       WHEN aligned > 0 THEN 'Your intro aligns with the strongest actionable benchmark patterns the engine could reliably compare.'
       ELSE 'No clear actionable difference was found from the current benchmark evidence.' END"""
-    columns = "subject_id, grp, rank, video_id, views, overlap"
+    columns = "subject_id, grp, CAST(rank AS INTEGER) AS rank, video_id, views, overlap"
     feature_columns = ", ".join(["frames_analyzed", "scene_changes", "scene_change_count", *features.CLASSES])
     counted = "CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN ' ' || event_id || ' ' WHEN 2 THEN event_id || '.7' ELSE 'x' || event_id END"
     return {
@@ -278,14 +278,14 @@ def oracle_sql() -> dict[str, str]:
         "video_id_strict": sql(URLS, f"SELECT page_id, {STRICT} AS video_id FROM urls"),
         "canonical_url": sql(URLS, f"SELECT page_id, {q(t.WATCH)} || {STRICT} AS url, CASE WHEN page_id % 8 = 7 THEN 'invalid_youtube_url' END AS error_type FROM urls"),
         "normalize_text": f"SELECT doc_id, md5({norm('text')}) AS normalized_md5 FROM documents",
-        "word_set": f"SELECT doc_id, len({word_list('text')}) AS n_words FROM documents",
+        "word_set": f"SELECT doc_id, CAST(len({word_list('text')}) AS INTEGER) AS n_words FROM documents",
         "title_query": sql(VIDEOS, SUBJECTS, TITLE_QUERIES, "SELECT * FROM queries"),
         "query_hypotheses": sql(VIDEOS, SUBJECTS, HYPOTHESES, "SELECT * FROM hyp WHERE qpos < 8"),
         "token_overlap": sql(*search, "SELECT subject_id, qpos, video_id, overlap FROM pairs"),
         "candidate_search": sql(*search, "SELECT * FROM candidates"),
         "query_scores": sql(*hyp_search, "SELECT * FROM scores"),
         "best_query": sql(*hyp_search, "SELECT * FROM best"),
-        "clean_cohort": sql(*full, "SELECT subject_id, pos, video_id, overlap, views, rank FROM cleaned"),
+        "clean_cohort": sql(*full, "SELECT subject_id, pos, video_id, overlap, views, CAST(rank AS INTEGER) AS rank FROM cleaned"),
         "top_performers": sql(*full, f"SELECT {columns} FROM performers WHERE grp = 'top'"),
         "lower_performers": sql(*full, f"SELECT {columns}, reason FROM performers JOIN reasons USING (subject_id) WHERE grp = 'lower'"),
         "lower_strict": sql(*full, f"SELECT {columns} FROM performers JOIN sizes USING (subject_id) WHERE grp = 'lower' AND n_strict >= 3"),
@@ -309,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "intro_features": sql(FRAMES, intro("intro15", 15), "SELECT * FROM intro15"),
         "feature_summary": sql(VIDEOS, SUBJECTS, FRAMES, intro("intro15", 15), USERS, summary("users", "subjects", "intro15", "subject_id"), "SELECT * FROM users"),
         "feature_long": sql(VIDEOS, SUBJECTS, FRAMES, intro("intro15", 15), USERS, summary("users", "subjects", "intro15", "subject_id"), unpivot("user_long", "users", "subject_id"), "SELECT * FROM user_long"),
-        "cohort_features": sql(*feats, f"SELECT subject_id, grp, pos, video_id, {feature_columns} FROM members"),
+        "cohort_features": sql(*feats, f"SELECT subject_id, grp, CAST(pos AS INTEGER) AS pos, video_id, {feature_columns} FROM members"),
         "dominant_values": sql(*long, "SELECT * FROM dominant"),
         "feature_contrast": sql(*compared, "SELECT * FROM contrast"),
         "recommendations": sql(*compared, tips),

@@ -41,7 +41,7 @@ SIZE, GRAM = 100, 32
 SPAN = SIZE - GRAM + 1  # places a window can pick
 PIECE = 1 << 20
 #: Segments a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Different segments of a suffix beyond which it is split by window offset, and offsets a part has.
 CROWD, OFFSETS = 5_000, 3
 SAMPLE_DOCS = 1_500

@@ -58,7 +58,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     all_units = cut(units(docs, min_words))
     first = all_units.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = all_units.join(first.drop("n"), "digest").where(F.struct("doc_id", "pos") > F.col("first"))
+    first = cut(first.drop("n"))  # a plain table on this side lets the skew join split the other one
+    gone = all_units.join(first, "digest").where(F.struct("doc_id", "pos") > F.col("first"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 

@@ -134,7 +134,8 @@ def judge(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
         known = F.array(*map(F.lit, used))
         split = split.withColumn("items", F.array_sort(F.array_intersect("items", known)))
         sets = split.where("given is null").select("items").distinct()
-        found = fired(sets, rules).withColumnRenamed("verdict", "mined")
+        # a plain table on this side lets the skew join split the pages
+        found = cut(fired(sets, rules).withColumnRenamed("verdict", "mined"))
         split = split.join(found, "items", "left")
     else:
         split = split.withColumn("mined", F.lit(None).cast("string"))

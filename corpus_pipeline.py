@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidcohort.llm import bpe, decontam, langid, simhash, suffixdedup
+from vidcohort.llm import bpe, decontam, langid, neardup, suffixdedup
 from vidcohort.llm.common import cut, read_table
 
 
@@ -14,8 +14,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("langid", identify),
-    ("simhash", near_dedup),
+    ("neardup", near_dedup),
     ("suffixdedup", substring_dedup),
     ("decontam", decontaminate),
     ("bpe", encode),

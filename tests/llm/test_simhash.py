@@ -58,9 +58,12 @@ def test_components(spark, block_rows):
             for b in random.sample(range(64), random.choice([1, 3, 4, 5])):
                 x ^= 1 << b
     fps = list(dict.fromkeys(fps))
-    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
     found = {r.node: r.component for r in simhash.connected_components(simhash.links(df, block_rows)).collect()}
-    assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps)
+    of = [signed.index(found.get(f, f)) for f in signed]
+    want = brute_components(fps)
+    assert len(set(zip(of, want))) == len(set(of)) == len(set(want))
 
 
 def test_tables_with_odd_rows(spark):
@@ -70,6 +73,11 @@ def test_tables_with_odd_rows(spark):
     assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3, 3]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    # a row without id links others; ids over 2^53 stay whole
+    big = 2**60 + 1
+    rows = [(None, "q r s t u"), (big, "q r s t u"), (None, "only here"), (7, "very long " + "a b c d e f g " * 30_000), (8, "very long " + "a b c d e f g " * 30_000)]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, big), (big, big), (None, None), (7, 7), (8, 7)}
 
 
 def test_query_against_brute_force(spark):

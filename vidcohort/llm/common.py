@@ -15,13 +15,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only if that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only if that is unset and the session is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -60,11 +62,11 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     ``edges`` has long columns ``a`` and ``b``. Alternates large-star and small-star steps: each is
     one minimum per node and one join, so a hub is never gathered in one task, and the number of
-    edges never grows. Stops when a round changes nothing.
+    edges never grows. The minima are written first: a plain table on that side lets the skew join split
+    a hub's edges. Stops when a round changes nothing.
     """
-    def minima(e: DataFrame, own: bool) -> DataFrame:
-        m = e.groupBy("u").agg(F.min("v").alias("m"))
-        return m.withColumn("m", F.least("u", "m")) if own else m
+    def minima(e: DataFrame) -> DataFrame:
+        return cut(e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
 
     now = cut(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -74,18 +76,18 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        large = both.join(minima(both, True), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        tops = minima(both)
+        large = cut(both.join(tops, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        lows = minima(small, True)
-        new = (
+        lows = minima(small)
+        new = cut(
             small.join(lows, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
             .unionByName(lows.select(F.col("u").alias("a"), F.col("m").alias("b")))
             .where("a <> b").distinct()
-        )
-        new = cut(new)
+        )
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_cut(now)
+        for old in (now, tops, large, lows):
+            drop_cut(old)
         now = new
         if sign == seen:
             break

@@ -11,8 +11,10 @@
    already in the query's component is pruned too, so dense groups emit a spanning set, not all pairs.
 3. ``near_duplicates``: components over the links.
 
-Nulls and texts without words have fingerprint zero and link like any other. Rows that repeat a
-doc_id with the same text collapse naturally; an empty table gives an empty result.
+Nulls and texts without words have fingerprint zero and link like any other. Every row is in the result, so
+rows that repeat a doc_id come back as often; with different texts they link what either links. Rows without
+doc_id link others, but are never the smallest; a component without any doc_id has a null component_id.
+Texts of any length are read whole, 4096 shingles at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import connected_components, cut, read_table
+from vidcohort.llm.common import connected_components, cut, partitions, read_table
 
 #: Bits of the three leading parts; with at most four differences one part has at most one.
 PARTS = (21, 21, 22)
@@ -33,6 +35,8 @@ MAX_BITS = 4
 #: Four times the usual number of members of a block.
 BLOCK_ROWS = 8192
 FANOUT = 8
+#: Rows of blocks that a task searches.
+TASK_ROWS = 50_000
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -138,8 +142,8 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _link_block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["rep", "home"], ascending=[True, False])
-    codes, rep = rows["code"].to_numpy().view(np.uint64), rows["rep"].to_numpy()
+    rows = rows.sort_values(["fp", "home"], ascending=[True, False])
+    codes, fp = rows["code"].to_numpy().view(np.uint64), rows["fp"].to_numpy()
     home = np.flatnonzero(rows["home"].to_numpy())
     labels = np.arange(len(rows))
     if len(home) and len(rows) > 1:
@@ -149,13 +153,13 @@ def _link_block(rows: pd.DataFrame) -> pd.DataFrame:
             hit, member = index.search(codes[q], MAX_BITS, labels[q], index.components(labels[home]))
             labels = unite(labels, q[hit], home[member])
     linked = labels != np.arange(len(rows))
-    return pd.DataFrame({"a": rep[linked], "b": rep[labels[linked]]})
+    return pd.DataFrame({"a": fp[linked], "b": fp[labels[linked]]})
 
 
 def links(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) pairs of representatives that connect all fingerprints within ``MAX_BITS`` bits.
+    """(a, b) pairs that connect all fingerprints within ``MAX_BITS`` bits.
 
-    ``distinct`` has fp and rep (a smallest doc_id), one row a fingerprint. The blocks hold about a
+    ``distinct`` has fp, one row a fingerprint. The blocks hold about a
     quarter of ``block_rows`` each, visitors not counted; one with over eight times ``block_rows`` is
     dealt in chunks by hash and each pair of chunks is one group, so that no group is unbounded.
     """
@@ -165,14 +169,14 @@ def links(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     for r, before in enumerate((0, PARTS[0], PARTS[0] + PARTS[1])):
         code = F.expr(f"shiftleft(fp, {before}) | shiftrightunsigned(fp, {64 - before})") if before else F.col("fp")
         moves.append(F.struct(F.lit(r).alias("r"), code.alias("code")))
-    rows = distinct.select("rep", F.explode(F.array(*moves)).alias("m")).select("rep", "m.r", "m.code")
+    rows = distinct.select("fp", F.explode(F.array(*moves)).alias("m")).select("fp", "m.r", "m.code")
     if bits:
         rows = rows.withColumn("at", F.expr(f"shiftrightunsigned(code, {64 - bits})"))
         near = f"filter(transform(sequence(0, {bits - 1}), j -> at ^ shiftleft(1L, j)), b -> b > at)"
         rows = rows.withColumn("block", F.explode(F.expr(f"concat(array(at), {near})")))
     else:
         rows = rows.withColumn("at", F.lit(0).cast("long")).withColumn("block", F.col("at"))
-    rows = rows.select("r", "block", "rep", "code", (F.col("block") == F.col("at")).alias("home"))
+    rows = rows.select("r", "block", "fp", "code", (F.col("block") == F.col("at")).alias("home"))
     most = 8 * block_rows  # a usual block has up to (1 + bits / 2) * block_rows / 4, visitors included
     crowded = rows.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > most)
     crowded = crowded.withColumn("chunks", F.ceil(F.col("n") / (most // 2)).cast("int"))
@@ -180,8 +184,10 @@ def links(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    # tasks by rows: groups are small in bytes, but each row is a search
+    tasks = max(partitions(distinct.sparkSession), 3 * n * (2 + bits) // 2 // TASK_ROWS)
     return (
-        rows.groupBy("r", "block", "i", "j")
+        rows.repartition(tasks, "r", "block", "i", "j").groupBy("r", "block", "i", "j")
         .applyInPandas(lambda pdf: _link_block(pdf), "a long, b long")
         .where("a <> b")
     )
@@ -190,11 +196,13 @@ def links(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
     prints = cut(fingerprints(docs, words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = connected_components(links(distinct))
-    classes = distinct.join(found, distinct["rep"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    of = distinct.join(found, distinct["fp"] == found["node"], "left").withColumn("component", F.coalesce("component", "fp"))
+    of = cut(of.select("fp", "low", "component"))
+    # plain tables on the small sides let the skew join split a large component or a frequent fingerprint
+    lows = cut(of.groupBy("component").agg(F.min("low").alias("component_id")))
+    classes = cut(of.join(lows, "component").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -4,7 +4,9 @@ A text is cut at the special tokens, then into pre-tokens by the vocabulary's pa
 pre-token form a doubly linked list of symbols; a priority queue holds the ranks of the merges that
 neighbours allow, lowest rank and leftmost first; entries whose symbols have changed since are
 skipped. Decoding concatenates the vocabulary's byte strings. Repeated pre-tokens are taken from a
-bounded cache of the worker. Null texts are empty texts; an empty text has no tokens.
+bounded cache of the worker. Null texts are empty texts; an empty text has no tokens. Every row is coded
+by itself, whatever its id, repeats included; a text of any length is coded whole. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 import regex
@@ -24,7 +27,9 @@ from vidcohort.llm.common import read_table
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_TOKENS, CACHED_LENGTH = 1 << 18, 48
+CACHED_TOKENS, CACHED_LENGTH = 1 << 17, 48
+#: Entries that a worker keeps from one task to the next.
+KEPT_TOKENS = 1 << 14
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,6 +68,11 @@ class Codec(dict):
             self[token] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop all but the oldest ``KEPT_TOKENS`` entries, so that an idle worker holds little."""
+        for token in list(islice(self, KEPT_TOKENS, None)):
+            del self[token]
+
     def merge(self, data: bytes) -> tuple[int, ...]:
         symbol = [self.symbol[b] for b in data]
         n, merges = len(symbol), self.merges
@@ -145,20 +155,20 @@ def digests(spark: SparkSession, docs: DataFrame, file: str | None = None) -> Da
     """
     name = _ship(spark, file)
 
-    def run(batches):
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(SparkFiles.get(name))
         text = own.text.__getitem__
-        for b in batches:
+        for texts in parts:
             rows = []
-            for t in b["text"]:
+            for t in texts:
                 ids = own.encode(t or "")
                 listed = ",".join(map(text, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,24 +106,21 @@ def cleaned(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     ``removed`` has start and end offsets in the original text.
     """
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for t, gone in zip(b["text"], b["gone"]):
-                t = t or ""
-                out = [] if gone is None else spans(t, gone, run_words)
-                at, kept = 0, []
-                for start, end, _ in out:
-                    kept.append(t[at:start])
-                    at = end
-                rows.append(("".join([*kept, t[at:]]), len(cuts(t)), sum(n for *_, n in out), [{"start": s, "end": e} for s, e, _ in out]))
-            out = pd.DataFrame(rows, columns=["kept", "n_units", "n_removed", "removed"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+    @F.pandas_udf("kept string, n_units long, n_removed long, removed array<struct<start:long,end:long>>")
+    def run(texts: pd.Series, gones: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, gone in zip(texts, gones):
+            t = t or ""
+            out = [] if gone is None else spans(t, gone, run_words)
+            at, kept = 0, []
+            for start, end, _ in out:
+                kept.append(t[at:start])
+                at = end
+            rows.append(("".join([*kept, t[at:]]), len(cuts(t)), sum(n for *_, n in out), [{"start": s, "end": e} for s, e, _ in out]))
+        return pd.DataFrame(rows, columns=["kept", "n_units", "n_removed", "removed"])
 
     docs = _texts(docs)
-    kind = "doc_id long, kept string, n_units long, n_removed long, removed array<struct<start:long,end:long>>"
-    return docs.join(repeats(docs), ["doc_id", "sign"], "left").select("doc_id", "text", "gone").mapInPandas(run, kind)
+    return docs.join(repeats(docs), ["doc_id", "sign"], "left").select("doc_id", run("text", "gone").alias("x")).select("doc_id", "x.*")
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from vidcohort.llm import linededup
+from vidcohort.llm import linededup, pipeline
 from vidcohort.llm.bpe import op7_bpe
 from vidcohort.llm.decontam import op4_decontam
 from vidcohort.llm.langid import op10_langid
@@ -31,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_linededup": linededup.op8_linededup,
         "op9_lmscore": op9_lmscore,
         "op10_langid": op10_langid,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -63,14 +63,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches):
-        for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, fp long"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("fp"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ SIZE, GRAM = 100, 32
 SPAN = SIZE - GRAM + 1  # places a window can pick
 PIECE = 1 << 20
 #: Segments a task holds before it sends them on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Different segments of a suffix beyond which it is split by window offset, and offsets a part has.
 CROWD, OFFSETS = 5_000, 3
 SAMPLE_DOCS = 1_500
@@ -369,20 +369,17 @@ def with_spans(docs: DataFrame) -> DataFrame:
 def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from every document."""
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text, spans in zip(b["text"], b["spans"]):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                gone = [] if spans is None else merged(spans)
-                kept = kept_bytes(data, gone)
-                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return with_spans(read_table(spark, sf_dir, "documents")).mapInPandas(run, kind)
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, own in zip(texts, spans):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            gone = [] if own is None else merged(own)
+            kept = kept_bytes(data, gone)
+            rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return with_spans(read_table(spark, sf_dir, "documents")).select("doc_id", run("text", "spans").alias("x")).select("doc_id", "x.*")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -1,53 +1,5 @@
-"""The corpus pipeline: five stages over the table of documents, each by one operator of ``vidcohort.llm``."""
+"""The corpus pipeline over the table of documents: language ID, near-duplicates, suffixes, decontamination, tokens."""
 
-from __future__ import annotations
+from vidcohort.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from vidcohort.llm import bpe, decontam, langid, neardup, suffixdedup
-from vidcohort.llm.common import cut, read_table
-
-
-def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language cannot be told: null text, or no letter in it."""
-    return langid.keep_identified(spark, docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return neardup.keep_one(docs)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the strings that occur earlier out of the texts; documents stay, even if nothing is left of them."""
-    return suffixdedup.remove_repeats(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that contain an item of the benchmark."""
-    return decontam.keep_clean(spark, docs, read_table(spark, sf_dir, "benchmark"))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text of every document."""
-    return bpe.digests(spark, docs)
-
-
-STAGES = [
-    ("langid", identify),
-    ("neardup", near_dedup),
-    ("suffixdedup", substring_dedup),
-    ("decontam", decontaminate),
-    ("bpe", encode),
-]
-
-#: Fingerprints, learned models and byte pairs are not expressible in SQL; tests compare each stage with a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next stage's input."""
-    docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -3,9 +3,9 @@ import hashlib
 import numpy as np
 
 import corpus_pipeline as cp
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_neardup import brute
 from vidcohort.llm import bpe, decontam
-from vidcohort.llm.common import read_table
+from vidcohort.llm.common import cut, read_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,9 +29,7 @@ def without_repeats(docs):
 
 def plain_run(docs, items):
     docs = {d: t for d, t in docs.items() if t and any(c.isalpha() for c in t)}
-    ids = sorted(docs)
-    comp = brute_components([brute_fp(docs[i]) for i in ids])
-    docs = {i: docs[i] for k, i in enumerate(ids) if comp[k] == k}
+    docs = {i: docs[i] for i, low in brute(docs).items() if i == low}
     docs = without_repeats(docs)
     norm = lambda t: " " + " ".join(map(str, decontam.words([t or ""])[0].tolist())) + " "
     docs = {d: t for d, t in docs.items() if not any(norm(i) in norm(t) for i in items)}
@@ -57,6 +55,17 @@ def test_stages_keep_columns_and_clean_rows(spark):
     assert cp.STAGES[-1][1](spark, docs, SF).first().n_tokens > 0
 
 
+def test_stages_with_repeated_null_and_long_rows(spark):
+    long = "words of a very long text that has no end " + "and goes on with more and more of it " * 20_000
+    rows = [(1, long), (2, long + " "), (3, "A short text of its own here"), (3, "A short text of its own here"), (None, "text without an id"), (None, None), (2**60, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": docs_extra(), "component_id": docs_extra()})
+    for _, stage in cp.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF))
+    got = sorted((r.doc_id or 0, (r.text or "")[:9]) for r in docs.collect())
+    assert got == [(0, "text with"), (1, "words of "), (3, "A short t"), (3, "A short t"), (2**60, "x")]
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == 5
+
+
 def docs_extra():
     from pyspark.sql import functions as F
 

@@ -1,42 +1,49 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Tokens are words (A-Z lower-cased) and one end a text. All words are counted. Words with at least
-``WORD_SHARE`` of the training tokens are states of their own (never more than ``1 / WORD_SHARE``); all
-others share the state ``rare`` and, once in it, are told apart by their smoothed unigram probability.
-Bigrams of states with at least ``PAIR_SHARE`` of the tokens (never more than ``1 / PAIR_SHARE``) become
-arcs whose weight is the absolutely discounted, interpolated probability; the mass that is left is the
-weight of the state's failure arc to the root, whose arcs are the smoothed unigrams. So the model sums
-to one after every state. A text is scored in one traversal from left to right: the state is the last
-token; an arc is taken if there is one, else the failure arc and the root's arc.
-
-1. Word counts are gathered in buckets by word hash (64 bits); 2. pair counts likewise; 3. one pass over
-all texts takes the traversal and sends the rare words of each text to the bucket of their count, which
-returns each text's sum. What is broadcast is bounded by the shares; all counts cover the whole corpus.
-
-Null texts are empty texts: one end token. Without training rows every token has the unsmoothed
-probability 1 of an empty model (log 0). Rows that repeat a doc_id, or have none, are scored one by one;
-those without are held out of neither part, so never learned from.
+Tokens are words (A-Z lower-cased) and one end a text. All words, pairs and triples of the training texts are counted;
+nothing is left out however rare it is. The states are the root, every word and every pair of words seen; a text starts
+in the state of an end. An arc leads from a state to the longest state that ends in the new token; its weight is the
+smoothed probability
+
+    p(w | ab) = (count(abw) + PRIOR[1] * p(w | b)) / (count(ab) + PRIOR[1])
+    p(w | b)  = (count(bw) + PRIOR[0] * p(w)) / (count(b) + PRIOR[0])
+    p(w)      = (count(w) + ADD) / (tokens + ADD * (types + 1))
+
+and a token without an arc goes along the failure arc, of weight PRIOR / (count + PRIOR), to the state without its first
+word. So the model sums to one in every state. A text is scored in one traversal from left to right.
+
+The automaton grows with the corpus, so it is nowhere whole; counts lie in buckets by the n-gram's own hash, so that a
+frequent context spreads over all of them. 1. ``sources``: runs of texts are tokenized once and written. 2. ``counted``:
+a source sends its distinct n-grams and their training counts to the buckets, which add them up and answer each source;
+an n-gram of a third of all texts is one row a source. 3. Each source builds the states and arcs that its texts meet and
+traverses them. The number of buckets follows the number of tokens, so a task's size stays. N-grams are told apart by 48
+bits and their bucket.
+
+Null texts are empty texts: one end token. A text of any length is scored whole. Without training rows every token has
+the unsmoothed probability 1 of an empty model (log 0). Rows that repeat a doc_id, or have none, are scored one by one;
+those without are held out of neither part, so never learned from. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import cut, fold_remainder, partitions, read_table
+from vidcohort.llm.common import cut, drop_cut, fold_remainder, partitions, read_table
 
-WORD_SHARE, PAIR_SHARE = 1e-5, 1e-6
-DISCOUNT, ADD = 0.75, 0.1
-CHUNK = 1 << 20
-HELD = 1 << 21
+ADD = 0.1
+#: Weight, in occurrences, of the shorter context in the probability after a word and after a pair of words.
+PRIOR = (1024.0, 4.0)
+#: Characters that are tokenized at once, and that a source holds at most (a longer text is a source of its own).
+CHUNK, SOURCE = 1 << 20, 1 << 22
+#: Tokens for each bucket of n-grams; each brings up to three.
+BUCKET_TOKENS = 500_000
+LOW = np.uint64((1 << 48) - 1)
 END = np.uint64(0x5EED0E9D0A11CE55)
 BASE = 0x9E3779B97F4A7C15
-NO_ROW = -(2**63)  # stands for a null id on the way
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
@@ -99,241 +106,191 @@ class Places:
         return np.where((self.keys[at] == h) & (at < len(self.keys) - 1), at, -1)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-
-
-def counts_blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return struct.pack("<q", len(keys)) + keys.astype("<u8").tobytes() + counts.astype("<i8").tobytes()
-
-
-def read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = struct.unpack_from("<q", blob)[0]
-    return np.frombuffer(blob, "<u8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
-
-
-def gathered(docs: DataFrame, keys_of, buckets: int) -> DataFrame:
-    """(bucket, counts): the counts of the keys that ``keys_of(texts)`` gives, one row a bucket with sorted keys."""
-
-    def send(batches):
-        held, n = [], 0
-
-        def flush():
-            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            to = keys % np.uint64(buckets)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, counts_blob(keys[order[i:j]], counts[order[i:j]])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-            return pd.DataFrame(rows, columns=["bucket", "counts"])
-
-        for b in batches:
-            for _, part in chunked(b["text"]):
-                keys = keys_of(part)
-                held.append(np.unique(keys, return_counts=True))
-                n += len(held[-1][0])
-                if n >= HELD:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [read_counts(b) for b in pdf["counts"]]
-        keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "counts": [counts_blob(keys, counts)]})
-
-    return docs.select("text").mapInPandas(send, "bucket int, counts binary").groupBy("bucket").applyInPandas(add, "bucket int, counts binary")
-
-
-def at_least(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) in key order of the keys that are counted often enough; the caller's share bounds their number."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes, the lowest byte of all first; as most are small, this packs well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def read_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+class Grams:
+    """The distinct words, pairs and triples of a source, with their hashes and the place of each token's own.
+
+    ``words`` has the hashes of the source's words and ``tokens`` the word of each token; ``starts`` are the first tokens
+    of texts. A pair starts with the token before, at the start of a text with an end; a triple needs a token before that
+    in the same text, or, at the second token, the end.
+    """
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, starts: np.ndarray):
+        n = len(words)
+        end = int(np.flatnonzero(words == END)[0])
+        before = np.roll(tokens, 1)
+        before[starts] = end
+        pair, self.pair = np.unique(before * n + tokens, return_inverse=True)
+        triple, self.triple = np.unique(np.roll(self.pair, 1) * n + tokens, return_inverse=True)
+        self.first = np.zeros(len(tokens), bool)  # a text's first token has no triple
+        self.first[starts] = True
+        self.word, self.before = tokens, before
+        self.pair_before = np.roll(self.pair, 1)
+        two = mixed(words[pair // n] * np.uint64(BASE) + words[pair % n] + np.uint64(2))
+        three = mixed(two[triple // n] * np.uint64(BASE) + words[triple % n] + np.uint64(3))
+        self.sizes = (n, len(pair), len(triple))
+        self.hashes = np.concatenate([words, two, three])
+
+    def counts(self, some: np.ndarray) -> np.ndarray:
+        """How often each occurs at the tokens ``some``."""
+        n, p, t = self.sizes
+        parts = [(self.word, n, some), (self.pair, p, some), (self.triple, t, some & ~self.first)]
+        return np.concatenate([np.bincount(at[use], minlength=size) for at, size, use in parts])
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, edges) that sort the n-grams by bucket."""
+        to = ((self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        if buckets <= 1 << 16:
+            to = to.astype(np.uint16)
+        order = np.argsort(to, kind="stable")
+        return order, np.searchsorted(to[order], np.arange(buckets + 1))
+
+    def traverse(self, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of the words' own probability, weight of the way) of each token, given the corpus counts of the n-grams.
+
+        The state after a token is that of the longest of its n-grams that is known, so it is the last pair or word. All
+        tokens take their steps at once: first the failure arcs of the states that have no arc, then the arcs.
+        """
+        one, two, three = np.split(counts.astype(float), np.cumsum(self.sizes)[:2])
+        total = n + ADD * (v + 1)
+        root = (one + ADD) / total
+        after_word = (two[self.pair] + PRIOR[0] * root[self.word]) / (one[self.before] + PRIOR[0])
+        context = np.where(self.first, 0.0, two[self.pair_before])
+        after_pair = (np.where(self.first, 0.0, three[self.triple]) + PRIOR[1] * after_word) / (context + PRIOR[1])
+        at_pair, at_word = context > 0, one[self.before] > 0
+        arc3, arc2 = at_pair & ~self.first & (three[self.triple] > 0), at_word & (two[self.pair] > 0)
+        own = np.log10(root)[self.word]
+        way = np.where(arc3, np.log10(after_pair), 0.0)
+        way += np.where(at_pair & ~arc3, np.log10(PRIOR[1] / (context + PRIOR[1])), 0.0)
+        way += np.where(~arc3 & arc2, np.log10(after_word), 0.0)
+        way += np.where(~arc3 & at_word & ~arc2, np.log10(PRIOR[0] / (one[self.before] + PRIOR[0])), 0.0)
+        return own, way + np.where(~arc3 & ~arc2, own, 0.0)
+
+
+SOURCES = "source long, n_tokens long, rows binary, lengths binary, learned binary, words binary, tokens binary"
+
+
+def sources(docs: DataFrame) -> DataFrame:
+    """One row a run of texts: ids (as text, nulls empty), tokens a text, which are learned from, word hashes, tokens as words."""
 
     def run(batches):
+        source = TaskContext.get().partitionId() << 32  # the same again if the task is
         for b in batches:
-            for blob in b["counts"]:
-                k, c = read_counts(blob)
-                some = c >= least
-                yield pd.DataFrame({"k": k[some].view(np.int64), "c": c[some]})
+            ids, learned = b["row"].to_numpy(), b["train"].to_numpy(bool)
+            for first, part in chunked(b["text"], SOURCE):
+                hashes, lengths = [], []
+                for _, piece in chunked(part):
+                    h, owner = tokenize(piece)
+                    hashes.append(h)
+                    lengths.append(np.bincount(owner, minlength=len(piece)))
+                words, tokens, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")  # frequent words have small numbers
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                end = first + len(part)
+                source += 1
+                yield pd.DataFrame({
+                    "source": [source], "n_tokens": [len(tokens)], "rows": [",".join("" if i is None else i for i in ids[first:end]).encode()],
+                    "lengths": [planes(np.concatenate(lengths))], "learned": [learned[first:end].tobytes()],
+                    "words": [words[order].astype("<u8").tobytes()], "tokens": [planes(place[tokens])],
+                })
 
-    found = counts.mapInPandas(run, "k long, c long").toPandas()
-    keys, c = found["k"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], c[order]
+    text = F.col("row").cast("long").cast("string").alias("row")  # numbers with nulls would turn into floats in Python
+    return docs.select(text, F.col("text").cast("string").alias("text"), F.coalesce("train", F.lit(False)).alias("train")).mapInPandas(run, SOURCES)
 
 
-def totals(counts: DataFrame) -> tuple[int, int]:
-    """Number of tokens and of distinct ones."""
+def grams(words: bytes, tokens: bytes, lengths: bytes) -> tuple[Grams, np.ndarray]:
+    """The n-grams of a source and the tokens a text."""
+    size = read_planes(lengths)
+    return Grams(np.frombuffer(words, "<u8"), read_planes(tokens), np.cumsum(size) - size), size
 
-    def run(batches):
-        for b in batches:
-            parts = [read_counts(x)[1] for x in b["counts"]]
-            yield pd.DataFrame({"n": [int(sum(c.sum() for c in parts))], "v": [sum(map(len, parts))]})
-
-    row = counts.mapInPandas(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return row[0] or 0, row[1] or 0
-
-
-def mixed(pairs: np.ndarray) -> np.ndarray:
-    x = pairs * np.uint64(BASE)
-    return x ^ (x >> np.uint64(31))
-
-
-class Automaton:
-    """States: the words kept and, last, ``rare``. All weights are log10."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
-        self.words = Places(words)
-        self.rare = len(words)
-        self.total = n + ADD * (v + 1)
-        self.n = n
-        self.counts = counts
-        root = np.append(counts + ADD, 0.0) / self.total
-        root[-1] = max(1 - root[:-1].sum(), ADD / self.total)  # known rare words and the unknown
-        self.root = np.log10(root)
-        self.stay = np.zeros(self.rare + 1)
-        self.arcs, self.weights = Places(np.zeros(0, np.uint64)), np.zeros(1)
-
-    def states(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.words.find(hashes)
-        return np.where(at < 0, self.rare, at)
-
-    def pairs(self, states: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Key of each token's pair of state and arc; a text starts after an end."""
-        before = np.empty_like(states)
-        before[1:] = states[:-1]
-        start = np.flatnonzero(np.diff(owner, prepend=-1))
-        before[start] = self.states(np.array([END]))[0]
-        return before.astype(np.uint64) << np.uint64(32) | states.astype(np.uint64)
-
-    def link(self, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> None:
-        """Arcs from the kept pairs; ``contexts`` has how often each state was followed by a token."""
-        state, to = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        share = (counts - DISCOUNT) / np.maximum(contexts[state], 1)
-        left = np.clip(1 - np.bincount(state, weights=share, minlength=self.rare + 1), 1e-9, 1)
-        self.stay = np.log10(left)
-        weight = np.log10(share + left[state] * 10 ** self.root[to])
-        key = mixed(pairs)
-        order = np.argsort(key)
-        self.arcs, self.weights = Places(key[order]), np.append(weight[order], 0.0)
-
-    def traverse(self, states: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Weight of each token."""
-        pairs = self.pairs(states, owner)
-        arc = self.arcs.find(mixed(pairs))
-        return np.where(arc >= 0, self.weights[arc], self.stay[(pairs >> np.uint64(32)).astype(np.int64)] + self.root[states])
-
-
-DOC = (("row", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("rare", "<i8"), ("base", "<f8"), ("score", "<f8"))
-
-
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(row, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (row, text), learning from ``train`` (text)."""
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
-    unigrams = cut(gathered(train, lambda texts: tokenize(texts)[0], buckets))
-    n, v = totals(unigrams)
-    model = Automaton(*at_least(unigrams, max(1, WORD_SHARE * n)), n, v)
-    first = spark.sparkContext.broadcast(model)
 
-    def pair_keys(texts):
-        hashes, owner = tokenize(texts)
-        return first.value.pairs(first.value.states(hashes), owner)
+def counted(runs: DataFrame, buckets: int) -> DataFrame:
+    """(source, bucket, counts, tokens, types): corpus counts of each source's n-grams of a bucket, in the source's order.
 
-    bigrams = cut(gathered(train, pair_keys, buckets))
-
-    def context(batches):
-        for b in batches:
-            for blob in b["counts"]:
-                k, c = read_counts(blob)
-                s, c = summed(k >> np.uint64(32), c)
-                yield pd.DataFrame({"s": s.astype(np.int64), "c": c})
-
-    followed = np.zeros(model.rare + 1)
-    seen = bigrams.mapInPandas(context, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).toPandas()  # a row a state
-    followed[seen["s"].to_numpy(np.int64)] = seen["c"]
-    model.link(*at_least(bigrams, max(1, PAIR_SHARE * n)), followed)
-    shared = spark.sparkContext.broadcast(model)
+    A row without a source has the number of training tokens and of different ones of the bucket.
+    """
 
     def send(batches):
-        """Traverse; rare words go to their bucket as (text number, hash, times) of a source, a run of texts."""
-        own = shared.value
-        at_known = np.log10((own.counts + ADD) / own.total) if own.rare else np.zeros(0)
-        at_known = np.append(at_known, 0.0)
-        source = TaskContext.get().partitionId() << 32  # the same again if the task is
         for b in batches:
-            rows = b["row"].to_numpy()
-            for first, part in chunked(b["text"], 4 * CHUNK):
-                k = len(part)
-                hashes, owner = tokenize(part)
-                states = own.states(hashes)
-                rare = states == own.rare
-                sums = lambda w: np.bincount(owner, weights=w, minlength=k)
-                ids = rows[first : first + k].astype("<i8")
-                doc = {"row": ids, "tokens": sums(np.ones(len(owner))), "known": sums(~rare), "rare": sums(rare), "base": sums(at_known[states]), "score": sums(own.traverse(states, owner))}
-                source += 1
-                packed = struct.pack("<q", k) + b"".join(np.asarray(doc[c]).astype(t).tobytes() for c, t in DOC)
-                out = [(int(source % buckets), source, packed, None)]
-                h, who = hashes[rare], owner[rare]
-                to = h % np.uint64(buckets)
-                order = np.lexsort((h, who, to))
-                h, who, to = h[order], who[order], to[order]
-                head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (who[1:] != who[:-1]))[: len(h)])
-                times = np.diff(np.append(head, len(h)))
-                h, who, to = h[head], who[head], to[head]
-                cuts = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-                for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if j > i:
-                        blob = struct.pack("<q", j - i) + h[i:j].tobytes() + np.diff(who[i:j], prepend=0).astype("<u4").tobytes() + times[i:j].astype("<u4").tobytes()
-                        out.append((bucket, source, None, blob))
-                yield pd.DataFrame(out, columns=["bucket", "source", "docs", "words"])
-
-    total = model.total
-
-    def answer(words: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        """What the rare words of a bucket add to each text of each source."""
-        keys, c = read_counts(counts["counts"].iloc[0]) if len(counts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        places, c = Places(keys), np.append(c, 0)
-        out = []
-        for source, docs_blob, blob in zip(words["source"], words["docs"], words["words"]):
-            if blob is None:
-                out.append((source, docs_blob, None))
-                continue
-            k = struct.unpack_from("<q", blob)[0]
-            h = np.frombuffer(blob, "<u8", k, 8)
-            who = np.cumsum(np.frombuffer(blob, "<u4", k, 8 + 8 * k)).astype(np.int64)
-            times = np.frombuffer(blob, "<u4", k, 8 + 12 * k)
-            at = places.find(h)
-            logs = times * np.log10((c[at] * (at >= 0) + ADD) / total)
-            who, back = np.unique(who, return_inverse=True)
-            sums, known = np.bincount(back, weights=logs), np.bincount(back, weights=times * (at >= 0)).astype(np.int64)
-            out.append((source, None, struct.pack("<q", len(who)) + np.diff(who, prepend=0).astype("<u4").tobytes() + known.astype("<u4").tobytes() + sums.tobytes()))
-        return pd.DataFrame(out, columns=["source", "docs", "sums"])
-
-    rare_weight = float(model.root[-1])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs = [b for b in pdf["docs"] if b is not None]
-        k = struct.unpack_from("<q", blobs[0])[0]
-        d = {c: np.frombuffer(blobs[0], t, k, 8 + 8 * k * i).copy() for i, (c, t) in enumerate(DOC)}
-        logs = np.zeros(k)
-        for b in pdf["sums"]:
-            if b is not None:
-                m = struct.unpack_from("<q", b)[0]
-                who = np.cumsum(np.frombuffer(b, "<u4", m, 8)).astype(np.int64)
-                d["known"][who] += np.frombuffer(b, "<u4", m, 8 + 4 * m)
-                logs[who] += np.frombuffer(b, "<f8", m, 8 + 8 * m)
-        return pd.DataFrame({"row": d["row"], "n_tokens": d["tokens"], "n_known": d["known"], "base_score": d["base"] + logs, "score": d["score"] + logs - rare_weight * d["rare"]})
-
-    sent = docs.select(F.coalesce(F.col("row").cast("long"), F.lit(NO_ROW)).alias("row"), "text").mapInPandas(send, "bucket int, source long, docs binary, words binary")
-    back = sent.groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInPandas(answer, "source long, docs binary, sums binary")
-    out = back.groupBy("source").applyInPandas(join, "row long, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumns({"row": F.nullif("row", F.lit(NO_ROW)), "train_tokens": F.lit(n).cast("long")})
+            for source, words, tokens, lengths, learned in zip(b["source"], b["words"], b["tokens"], b["lengths"], b["learned"]):
+                own, size = grams(words, tokens, lengths)
+                times = own.counts(np.repeat(np.frombuffer(learned, bool), size))
+                order, edges = own.dealt(buckets)
+                low = (own.hashes & LOW)[order]
+                is_word, times = (np.arange(len(order)) < own.sizes[0])[order], times[order]
+                rows = []
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    i, j = edges[k], edges[k + 1]  # in a bucket words come first
+                    keys = np.ascontiguousarray(low[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    rows.append((k, source, int(is_word[i:j].sum()), keys, planes(times[i:j])))
+                yield pd.DataFrame(rows, columns=["bucket", "source", "n_words", "keys", "times"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, times, words = [], [], []
+        for blob, own, n in zip(pdf["keys"], pdf["times"], pdf["n_words"]):
+            wide = np.zeros((len(blob) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+            keys.append(wide.view("<u8").ravel())
+            times.append(read_planes(own))
+            words.append(np.arange(len(wide)) < n)
+        sizes = [len(k) for k in keys]
+        keys, times, words = np.concatenate(keys), np.concatenate(times), np.concatenate(words)
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        sums = np.bincount(back, weights=times).astype(np.int64)
+        out = [(s, planes(x), 0, 0) for s, x in zip(pdf["source"], np.split(sums[back], np.cumsum(sizes)[:-1]))]
+        own = sums[words[first]]
+        out = pd.DataFrame([*out, (None, None, int(own.sum()), int((own > 0).sum()))], columns=["source", "counts", "tokens", "types"])
+        return out.assign(bucket=int(pdf["bucket"].iloc[0])).astype({"source": "Int64"})
+
+    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(send, "bucket int, source long, n_words long, keys binary, times binary")
+    return sent.groupBy("bucket").applyInPandas(add, "source long, bucket int, counts binary, tokens long, types long")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(row, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (row, text, train), learning from the rows with train."""
+    spark = docs.sparkSession
+    runs = cut(sources(docs))
+    total = runs.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = max(partitions(spark), -(-total // BUCKET_TOKENS))
+    answers = cut(counted(runs, buckets))
+    n, v = answers.where("source is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+
+    def finish(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        t = texts.iloc[0]
+        own, size = grams(t["words"], t["tokens"], t["lengths"])
+        found = np.empty(len(own.hashes), np.int64)
+        found[own.dealt(buckets)[0]] = np.concatenate([read_planes(x) for x in counts.sort_values("bucket")["counts"]])
+        base, way = own.traverse(found, n, v)
+        heads = np.cumsum(size) - size
+        known = np.add.reduceat((found[own.word] > 0).astype(np.int64), heads)
+        return pd.DataFrame({
+            "row": t["rows"].decode().split(","), "n_tokens": size, "n_known": known,
+            "base_score": np.add.reduceat(base, heads), "score": np.add.reduceat(way, heads),
+        })
+
+    kind = "row string, n_tokens long, n_known long, base_score double, score double"
+    own = answers.where("source is not null").select("source", "bucket", "counts")
+    out = runs.select("source", "rows", "lengths", "words", "tokens").groupBy("source").cogroup(own.groupBy("source")).applyInPandas(finish, kind)
+    return out.withColumns({"row": F.nullif("row", F.lit("")).cast("long"), "train_tokens": F.lit(n).cast("long")})
 
 
 def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("text").cast("string").alias("text"))
-    train = docs.where(fold_remainder(F.col("row"), 10) != 0)
-    held_out = (fold_remainder(F.col("row"), 10) == 0).alias("held_out")
-    return score(docs, train).select(F.col("row").alias("doc_id"), held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    fold = fold_remainder(F.col("row"), 10)
+    held_out = (fold == 0).alias("held_out")
+    return score(docs.withColumn("train", fold != 0)).select(F.col("row").alias("doc_id"), held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -1,3 +1,5 @@
+import random
+import re
 from itertools import combinations
 
 import duckdb
@@ -38,20 +40,25 @@ def test_given_rules(spark):
     assert uf.judge(pages.limit(0), labels).count() == 0
 
 
-def brute_rules(rows, support, confidence):
-    n = len(rows)
+def brute_rules(rows, support, confidence, lift, least):
     out = {}
     tokens = {t for items, _ in rows for t in items}
+    base = {v: sum(w == v for _, w in rows) for v in ("allow", "block")}
     for size in range(1, 5):
         for a in combinations(sorted(tokens), size):
             own = [v for items, v in rows if set(a) <= set(items)]
-            for v in ("allow", "block"):
+            for v in base:
                 k = own.count(v)
-                if k >= support * n and k and k >= confidence * len(own):
+                if k and len(own) >= least and k >= support * base[v] and k >= confidence * len(own) and k / len(own) >= lift * base[v] / len(rows) - 1e-9:
                     out[frozenset(a), v] = k / len(own)
     return {(a, v): c for (a, v), c in out.items() if not any(b < a and w == v and d >= c for (b, w), d in out.items())}
 
 
+def brute_verdict(items, rules):
+    hits = [(c, v == "allow") for (a, v), c in rules.items() if a <= set(items)]
+    return ("allow" if max(hits)[1] else "block") if hits else None
+
+
 @pytest.mark.parametrize("confidence", [0.6, 0.9])
 def test_mined_rules_against_brute_force(spark, confidence):
     rows = []
@@ -59,14 +66,49 @@ def test_mined_rules_against_brute_force(spark, confidence):
         items = [f"a{i % 3}", f"b{i % 4}", f"c{i % 5}"]
         rows.append((items, "block" if (i % 3 == 0 and i % 4 == 1) or i % 5 == 4 and i % 2 else "allow"))
     df = spark.createDataFrame(rows, "items array<string>, verdict string")
-    rules = uf.mine(df, 0.05, confidence).collect()
-    want = brute_rules(rows, 0.05, confidence)
+    rules = uf.mine(df, 0.05, confidence, 1.1, 4).collect()
+    want = brute_rules(rows, max(0.05, 0), confidence, 1.1, 4)
     got = {(frozenset(r.antecedent), r.verdict): r.confidence for r in rules}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    fired = {tuple(r["items"]): r.verdict for r in uf.fired(df.select("items").distinct(), uf.mine(df, 0.05, confidence)).collect()}
+    fired = {tuple(r["items"]): r.verdict for r in uf.fired(df.select("items").distinct(), uf.mine(df, 0.05, confidence, 1.1, 4)).collect()}
     for items, _ in rows:
-        hits = [(c, v == "allow") for (a, v), c in want.items() if a <= set(items)]
-        assert fired.get(tuple(items)) == (("allow" if max(hits)[1] else "block") if hits else None)
+        assert fired.get(tuple(items)) == brute_verdict(items, want)
+
+
+def url_tokens(url):
+    """Tokens by plain rules."""
+    host, path = plain(url)
+    fold = lambda x: re.sub("[0-9]+", "0", x.lower())
+    keys = [k.split("=")[0] for k in url.split("?", 1)[1].split("#")[0].split("&")] if "?" in url else []
+    parts = [("scheme:", [url.split("://")[0]]), ("host:", host.split(".")), ("path:", re.split("[/.]", path)), ("key:", keys)]
+    return sorted({t + fold(x) for t, xs in parts for x in xs if x})
+
+
+def test_verdicts_against_brute_force(spark):
+    """A rare bad host, a bad path and a good host among many URLs; most pages have no label."""
+    rng = random.Random(6)
+    urls = []
+    for i in range(3000):
+        host = rng.choice(["news", "shop", "blog"]) + ".site%s.org" % rng.choice("abcdefgh")
+        if i % 60 == 0:
+            host = "cheap-pills.biz"
+        urls.append(f"https://{host}/{rng.choice(['a', 'b', 'win-money', 'doc'])}/{i}.html" + rng.choice(["", "?id=3", "?utm=1&id=2"]))
+    urls += [None, "no scheme", "https://x.net/es/1", "HTTPS://WWW.Cheap-Pills.biz/x" + "/y" * 5000, urls[0], urls[0]]
+    bad = lambda u: "pills" in u or "win-money" in u
+    labels = [(i, int(not bad(u)), int(bad(u) and i % 2 == 0)) for i, u in enumerate(urls[:3000]) if i % 3 == 0]
+    labels += [(None, 1, 0), (3, None, None)]
+    pages = spark.createDataFrame([(i, u, "v", 1.0) for i, u in enumerate(urls)], "page_id long, url string, verdict string, confidence double")
+    got = {r.page_id: r.verdict for r in uf.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    rows = [(url_tokens(urls[i]), "block" if t == 1 or q == 0 else "allow") for i, q, t in labels if i is not None and (q, t) != (None, None)]
+    used = {t for t in {t for items, _ in rows for t in items} if sum(t in items for items, _ in rows) >= 3}
+    n_block, n_allow = (sum(v == w for _, v in rows) for w in ("block", "allow"))
+    assert n_block > 100 and n_allow > 100
+    few = [([t for t in items if t in used], v) for items, v in rows]
+    rules = brute_rules(few, uf.MIN_SUPPORT, uf.MIN_CONFIDENCE, uf.MIN_LIFT, uf.MIN_ROWS)
+    for i, u in enumerate(urls):
+        given = rule(*plain(u))[1]
+        assert got[i] == (given or (brute_verdict(url_tokens(u), rules) if u and "://" in u else None) or "allow"), u
+    assert got[0] == "block" and got[3003] == "block" and sum(v == "block" for v in got.values()) > 700
 
 
 def test_query_rules_in_sql(spark):

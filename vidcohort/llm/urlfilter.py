@@ -1,14 +1,19 @@
 """URL filtering by association rules.
 
-URLs become small sets of tokens (scheme, host labels, path parts, query keys). FP-growth mines the
-token sets of labelled pages together with an item for the label; of its rules, those that end in a
-label and pass the support and confidence bounds are kept, unless a shorter antecedent is at least as
-sure. Rules are matched through an inverted index from token to rule: a rule fires if as many of its
-tokens are found as it has. The surest rule that fires decides; ties go to allow; without any rule the
-verdict is allow. Given host and path rules come first; the longest that fits wins.
-
-All of it is DataFrame work. Null URLs and those without ``://`` have empty host and path, no token
-and the verdict allow. Pages without a label are judged like the rest. Without labels nothing is mined.
+URLs become small sets of tokens (scheme, host labels, path parts, query keys). FP-growth mines the token sets of the
+labelled pages of each verdict by themselves, so that support is a share of the verdict's own pages and a bad host is
+found however rare it is among all pages. Each frequent set is then counted in all labelled pages and is a rule if at
+least ``MIN_ROWS`` pages have it, the verdict's share among them (confidence) is ``MIN_CONFIDENCE`` or more and
+``MIN_LIFT`` times the verdict's share of all labelled pages or more, unless a smaller set is at least as sure.
+
+Rules are matched through an inverted index from token to rule: a rule fires if as many of its tokens are found as it
+has. The surest rule that fires decides; ties go to allow; without any rule the verdict is allow. Given host and path
+rules come first; the longest that fits wins.
+
+All of it is DataFrame work. Null URLs and those without ``://`` have empty host and path, no token and the verdict
+allow. Every row of pages is judged by its URL alone, whatever its id, repeats included; a page that has several labels
+is blocked if one of them says so, and counts once for each row that repeats its id. Pages without a label are judged
+like the rest. URLs of any length are taken whole. Without labels nothing is mined; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ GIVEN = (
     ("net", "/fr/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.6
+#: Share of the verdict's labelled pages, share of the verdict among a rule's pages, the same over that of all pages, pages.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_ROWS = 0.01, 0.6, 1.2, 30
 #: Rules up to which the index is sent to every executor; beyond it, the join is left to Spark.
 INDEX_ROWS = 20_000
 
@@ -62,31 +68,48 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*parts)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, antecedent, verdict, confidence) from rows of items and verdict.
+def frequent(baskets: DataFrame, support: float) -> DataFrame:
+    """(antecedent) sorted token sets of at least that share of the rows of ``baskets`` (items).
 
-    Rarer tokens than the support bound can be in no rule and are dropped before the mining, which also
-    bounds the items of a row that FP-growth has to deal with.
+    Rarer tokens can be in no such set and are dropped before the mining, which also bounds the items of a row that
+    FP-growth has to deal with.
     """
+    rows = baskets.count()
+    often = baskets.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= support * rows)
+    known = F.array(*[F.lit(r["item"]) for r in often.select("item").collect()]).cast("array<string>")  # at most (tokens a URL) / support
+    rows = cut(baskets.select(F.array_intersect("items", known).alias("items")))
+    sets = FPGrowth(itemsCol="items", minSupport=support).fit(rows).freqItemsets
+    return sets.select(F.array_sort("items").alias("antecedent"))
+
+
+def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(items, rule_id): the rules (rule_id, antecedent) all of whose tokens are in a set of tokens (items)."""
+    index = cut(rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token")))
+    if index.count() <= INDEX_ROWS:
+        index = F.broadcast(index)
+    hits = sets.select("items", F.explode("items").alias("token")).join(index, "token")
+    return hits.groupBy("items", "rule_id", "need").agg(F.count("*").alias("found")).where("found = need").select("items", "rule_id")
+
+
+def mine(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS
+) -> DataFrame:
+    """(rule_id, antecedent, verdict, confidence) from rows of items and verdict."""
     spark = labelled.sparkSession
-    rows = labelled.count()
-    often = labelled.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= min_support * rows)
-    known = [r["item"] for r in often.select("item").collect()]  # at most (tokens a URL) / min_support
-    items = F.concat(
-        F.filter("items", lambda x: F.array_contains(F.array(*map(F.lit, known)).cast("array<string>"), x)),
-        F.array(F.concat(F.lit("verdict:"), F.col("verdict"))),
-    )
-    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, verdict string, confidence double")
-    if not rows:
-        return empty
-    baskets = cut(labelled.select(items.alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.select("antecedent", F.col("consequent")[0].alias("to"), "confidence")
-    rules = cut(
-        rules.where(F.col("to").startswith("verdict:")).select(
-            F.array_sort("antecedent").alias("antecedent"), F.expr("substr(to, 9)").alias("verdict"), "confidence"
-        )
-    )
+    labelled = cut(labelled)
+    totals = {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}  # two verdicts
+    found = spark.createDataFrame([], "antecedent array<string>, verdict string, base double")
+    for verdict, n in sorted(totals.items()):
+        support = max(min_support, min_confidence * min_rows / n)
+        if support <= 1:
+            sets = frequent(labelled.where(F.col("verdict") == verdict), support)
+            found = found.unionByName(sets.withColumns({"verdict": F.lit(verdict), "base": F.lit(n / sum(totals.values()))}))
+    rules = cut(found.withColumn("rule_id", F.xxhash64("verdict", "antecedent")))
+    sets = cut(labelled.groupBy("items").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad")))
+    counts = matched(sets.select("items"), rules).join(sets, "items").groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    rules = rules.join(counts, "rule_id").withColumn("confidence", F.when(F.col("verdict") == "block", F.col("bad")).otherwise(F.col("n") - F.col("bad")) / F.col("n"))
+    sure = (F.col("n") >= min_rows) & (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("base") - 1e-9)
+    rules = cut(rules.where(sure).select("rule_id", "antecedent", "verdict", "confidence"))
     # a rule goes if one with fewer tokens, all of them among its own, is at least as sure of the same verdict
     parts = rules.select(F.col("antecedent").alias("long"), "verdict", F.col("confidence").alias("sure"), F.explode("antecedent").alias("token"))
     short = rules.select(F.col("antecedent").alias("short"), "verdict", "confidence", F.explode("antecedent").alias("token"))
@@ -96,25 +119,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         .groupBy("verdict", "long", "short").agg(F.count("*").alias("n"))
         .where("n = size(short)").select("verdict", F.col("long").alias("antecedent")).distinct()
     )
-    kept = rules.join(covered, ["verdict", "antecedent"], "left_anti")
-    return kept.select(F.xxhash64("verdict", "antecedent").alias("rule_id"), "antecedent", "verdict", "confidence")
+    return cut(rules.join(covered, ["verdict", "antecedent"], "left_anti").select("rule_id", "antecedent", "verdict", "confidence"))
 
 
 def fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(items, verdict) for the distinct token sets on which a rule fires."""
-    index = rules.select("rule_id", "verdict", "confidence", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
-    index = cut(index)
-    if index.count() <= INDEX_ROWS:
-        index = F.broadcast(index)
-    hits = (
-        sets.select("items", F.explode("items").alias("token")).join(index, "token")
-        .groupBy("items", "rule_id", "verdict", "confidence", "need").agg(F.count("*").alias("n")).where("n = need")
-    )
     best = F.max(F.struct("confidence", (F.col("verdict") == "allow").alias("allow"))).alias("best")
+    hits = matched(sets, rules).join(rules.select("rule_id", "verdict", "confidence"), "rule_id")
     return hits.groupBy("items").agg(best).select("items", F.when(F.col("best.allow"), "allow").otherwise("block").alias("verdict"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(
+    pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS
+) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url).
 
     ``labels`` (doc_id, quality, toxic) marks pages by id: block if toxic or of low quality.
@@ -128,7 +145,7 @@ def judge(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     labelled = split.join(marks, split["page_id"] == marks["doc_id"]).where("size(items) > 0").select(
         "items", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("verdict")
     )
-    rules = mine(labelled, min_support, min_confidence)
+    rules = mine(labelled, min_support, min_confidence, min_lift, min_rows)
     used = rules.select(F.explode("antecedent").alias("token")).distinct().agg(F.sort_array(F.collect_set("token"))).first()[0]
     if used:  # tokens of kept rules: at most (tokens a URL) / min_support
         known = F.array(*map(F.lit, used))

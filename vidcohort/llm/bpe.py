@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import read_table
+from vidcohort.llm.common import give_back, read_table
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -167,6 +167,7 @@ def digests(spark: SparkSession, docs: DataFrame, file: str | None = None) -> Da
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
         own.forget()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,23 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers outlive their tasks and would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that gives memory back when the last batch is done."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def fold_remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import fold_remainder, read_table
+from vidcohort.llm.common import fold_remainder, read_table, tidy
 
 #: Letter codes: 0 is blank, 1-26 are a-z, other letters share the rest by code point.
 SYMBOLS = 64
@@ -115,7 +115,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         sums.clear()
 
     known = docs.where("lang is not null and text is not null").select("text", "lang")
-    counts = known.mapInPandas(count, "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.mapInPandas(tidy(count), "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((TRIGRAMS, max(1, len(langs))), np.float32)
     seen = np.unique(counts["trigram"].to_numpy())

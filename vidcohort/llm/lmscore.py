@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import cut, drop_cut, fold_remainder, partitions, read_table
+from vidcohort.llm.common import cut, fold_remainder, give_back, partitions, read_table, tidy
 
 ADD = 0.1
 #: Weight, in occurrences, of the shorter context in the probability after a word and after a pair of words.
@@ -209,7 +209,7 @@ def sources(docs: DataFrame) -> DataFrame:
                 })
 
     text = F.col("row").cast("long").cast("string").alias("row")  # numbers with nulls would turn into floats in Python
-    return docs.select(text, F.col("text").cast("string").alias("text"), F.coalesce("train", F.lit(False)).alias("train")).mapInPandas(run, SOURCES)
+    return docs.select(text, F.col("text").cast("string").alias("text"), F.coalesce("train", F.lit(False)).alias("train")).mapInPandas(tidy(run), SOURCES)
 
 
 def grams(words: bytes, tokens: bytes, lengths: bytes) -> tuple[Grams, np.ndarray]:
@@ -254,9 +254,10 @@ def counted(runs: DataFrame, buckets: int) -> DataFrame:
         out = [(s, planes(x), 0, 0) for s, x in zip(pdf["source"], np.split(sums[back], np.cumsum(sizes)[:-1]))]
         own = sums[words[first]]
         out = pd.DataFrame([*out, (None, None, int(own.sum()), int((own > 0).sum()))], columns=["source", "counts", "tokens", "types"])
+        give_back()
         return out.assign(bucket=int(pdf["bucket"].iloc[0])).astype({"source": "Int64"})
 
-    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(send, "bucket int, source long, n_words long, keys binary, times binary")
+    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(tidy(send), "bucket int, source long, n_words long, keys binary, times binary")
     return sent.groupBy("bucket").applyInPandas(add, "source long, bucket int, counts binary, tokens long, types long")
 
 
@@ -276,6 +277,7 @@ def score(docs: DataFrame) -> DataFrame:
         found[own.dealt(buckets)[0]] = np.concatenate([read_planes(x) for x in counts.sort_values("bucket")["counts"]])
         base, way = own.traverse(found, n, v)
         heads = np.cumsum(size) - size
+        give_back()
         known = np.add.reduceat((found[own.word] > 0).astype(np.int64), heads)
         return pd.DataFrame({
             "row": t["rows"].decode().split(","), "n_tokens": size, "n_known": known,

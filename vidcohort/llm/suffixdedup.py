@@ -17,7 +17,10 @@ windows that picked them, loses nothing. A suffix stands for a segment: the run
    between buckets, are compared in full:
 3. their segments are fetched from the text, dealt by suffix, and every window is compared byte by
    byte with the earliest that has its hash. Crowded suffixes are split by window offset, as windows
-   at different offsets from their suffix never match.
+   at different offsets from their suffix never match, and by the bytes that all windows of the same
+   offsets cover; a task sends equal pieces once.
+
+The numbers of buckets and groups follow the bytes of the input.
 
 Null texts are empty. Texts under ``SIZE`` bytes lose nothing. Rows without doc_id are neither compared
 nor changed. Rows that repeat a doc_id hold the same places of the same document, so neither is earlier;
@@ -35,15 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import cut, partitions, read_table
+from vidcohort.llm.common import cut, drop_cut, give_back, partitions, read_table, tidy
 
 SIZE, GRAM = 100, 32
 SPAN = SIZE - GRAM + 1  # places a window can pick
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Segments a task holds before it sends them on.
-HELD = 1 << 18
-#: Different segments of a suffix beyond which it is split by window offset, and offsets a part has.
+HELD = 1 << 17
+#: Different segments of a suffix beyond which it is split by window offset and content, and offsets a part has.
 CROWD, OFFSETS = 5_000, 3
+#: Bytes of text for each bucket of suffixes, and of segments for each group that is compared.
+BUCKET_BYTES, GROUP_BYTES = 8 << 20, 2 << 20
 SAMPLE_DOCS = 1_500
 RECORD = (("lead", "<u8"), ("gram", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("wins", "u1"), ("rel", "u1"))
 
@@ -191,9 +196,9 @@ def unpack(blobs) -> dict[str, np.ndarray]:
     return {k: np.concatenate([*v, np.zeros(0, t)]) for (k, t), v in zip(RECORD, out.values())}
 
 
-def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Boundaries between buckets from the leading tokens of about ``SAMPLE_DOCS`` documents."""
-    total = docs.count()
+def splitters(docs: DataFrame, buckets: int, total: int) -> np.ndarray:
+    """Boundaries between buckets from the leading tokens of about ``SAMPLE_DOCS`` of the documents, and more for many buckets."""
+    wanted = max(SAMPLE_DOCS, buckets)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches):
@@ -201,7 +206,7 @@ def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
             some = c["gram"] % np.uint64(4) == 0
             yield pd.DataFrame({"lead": c["lead"][some].view(np.int64)})
 
-    leads = docs.where(draw < SAMPLE_DOCS / max(1, total)).mapInPandas(run, "lead long").toPandas()["lead"]
+    leads = docs.where(draw < wanted / max(1, total)).mapInPandas(tidy(run), "lead long").toPandas()["lead"]
     leads = np.sort(leads.to_numpy(np.int64).view(np.uint64))
     return leads[np.arange(1, buckets) * len(leads) // buckets] if len(leads) else leads
 
@@ -216,8 +221,9 @@ def bucket_of(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray,
 
 def sort_suffixes(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, suffix, crowd): removed spans (suffix null) and segments to compare in full."""
-    buckets = 4 * partitions(docs.sparkSession)
-    bounds = splitters(docs, buckets)  # fewer than ``buckets`` numbers
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    bounds = splitters(docs, buckets, total)  # fewer than ``buckets`` numbers
 
     def send(batches):
         held, count = [], 0
@@ -267,7 +273,7 @@ def sort_suffixes(docs: DataFrame) -> DataFrame:
             out = pd.concat([out.astype({"suffix": "Int64"}), more.astype({"suffix": "Int64"})])
         return out
 
-    sent = docs.mapInPandas(send, "bucket int, suffixes binary, spans binary")
+    sent = docs.mapInPandas(tidy(send), "bucket int, suffixes binary, spans binary")
     return sent.groupBy("bucket").applyInPandas(settle, "doc_id long, start long, stop long, suffix long, rel long, crowd long")
 
 
@@ -310,11 +316,14 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut(sort_suffixes(docs.where("doc_id is not null")))
     open_ = found.where("suffix is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "suffix", "rel", "crowd")).alias("open"))
-    groups = 4 * partitions(docs.sparkSession)
+    size = found.where("suffix is not null").agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
+    groups = max(partitions(docs.sparkSession), -(-size // GROUP_BYTES))
 
     def fetch(batches):
+        """The segments to compare, by group; a crowded suffix's are cut by offset and dealt by what all windows of these
+        offsets have in common. Equal pieces of a batch are one, the rest goes as removed spans."""
         for b in batches:
-            rows = []
+            rows, crowded = [], {}
             for doc, text, open_ in zip(b["doc_id"], b["text"], b["open"]):
                 if open_ is None:
                     continue
@@ -323,20 +332,31 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                     start, stop, rel = x["start"], x["stop"], x["rel"]
                     wins = stop - start - SIZE + 1
                     if x["crowd"] <= CROWD:
-                        rows.append((x["suffix"] % groups, doc, start, data[start:stop]))
+                        rows.append((x["suffix"] % groups, doc, start, data[start:stop], None))
                         continue
                     at = 0
                     while at < wins:  # offset of window ``at`` from the suffix is rel - at
                         part = (rel - at) // OFFSETS
                         end = min(wins, rel - part * OFFSETS + 1)
-                        rows.append(((x["suffix"] + (part + 1) * 0x9E3779B1) % groups, doc, start + at, data[start + at : start + end + SIZE - 1]))
+                        common = start + rel - part * OFFSETS  # windows of these offsets all cover the bytes from here
+                        deal = xxhash.xxh3_64_intdigest(data[common : common + SIZE - OFFSETS + 1], part)
+                        crowded.setdefault((deal, data[start + at : start + end + SIZE - 1]), []).append((doc, start + at))
                         at = end
-            yield pd.DataFrame(rows, columns=["part", "doc_id", "start", "content"])
-
-    texts = docs.join(open_, "doc_id", "left").mapInPandas(fetch, "part int, doc_id long, start long, content binary")
-    compared = texts.groupBy("part").applyInPandas(
-        lambda pdf: compare_windows(list(pdf["content"]), pdf["doc_id"].to_numpy(), pdf["start"].to_numpy()), "doc_id long, start long, stop long"
-    )
+            for (deal, content), places in crowded.items():
+                first = min(places)
+                rows.append((deal % groups, *first, content, None))
+                rows += [(deal % groups, *p, None, p[1] + len(content)) for p in places if p != first]
+            yield pd.DataFrame(rows, columns=["part", "doc_id", "start", "content", "stop"]).astype({"stop": "Int64"})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sent = pdf["stop"].isna()
+        rest = pdf[sent]
+        out = compare_windows(list(rest["content"]), rest["doc_id"].to_numpy(), rest["start"].to_numpy()) if len(rest) else None
+        give_back()
+        return pd.concat([out, pdf.loc[~sent, ["doc_id", "start", "stop"]].astype("int64")])
+
+    texts = docs.join(open_, "doc_id", "left").mapInPandas(tidy(fetch), "part long, doc_id long, start long, content binary, stop long")
+    compared = texts.groupBy("part").applyInPandas(compare, "doc_id long, start long, stop long")
     both = found.where("suffix is null").select("doc_id", "start", "stop").unionByName(compared)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

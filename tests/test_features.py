@@ -4,8 +4,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from vidcohort.operators import contrast, features
+from vidcohort.functions import text as t
+from vidcohort.operators import contrast, features, jobs
 from vidcohort.plans import report
+from vidcohort.sources import ingest
 
 
 @pytest.mark.parametrize("fn,points", [
@@ -104,13 +106,64 @@ def test_a_video_without_frames_still_votes_no_scene_change(spark):
 
 
 def test_report_status_and_warnings(spark):
-    """No member at all warns; a group of failed members only does not; a missing channel fails the row alone."""
-    users = summaries(spark, [summary(subject_id=i) for i in "abc"], ["subject_id"])
-    rows = [summary(subject_id="a", grp=g, pos=1, status="failed") for g in ("top", "lower")] + [summary(subject_id="b", grp="top", pos=1)]
-    context = spark.createDataFrame([("a", "success"), ("b", "success"), ("c", "failed")], "subject_id string, status string")
+    """No member at all warns; a group of failed members only does not; a missing channel leaves one warning and no section;
+    an intro that was not acquired, or has no frames, leaves its warnings and no section of its own."""
+    users = summaries(spark, [summary(subject_id=i) for i in "abcde"], ["subject_id"])
+    rows = [summary(subject_id=s, grp=g, pos=1, status="failed") for s in "ade" for g in ("top", "lower")] + [summary(subject_id="b", grp="top", pos=1)]
+    context = spark.createDataFrame([(s, "failed" if s == "c" else "success") for s in "abcde"], "subject_id string, status string")
+    evidence = [("a", "success", 3, ["not told"]), ("b", "success", 3, []), ("c", "success", 3, []), ("d", "failed", 0, ["gone"]), ("e", "success", 0, [])]
+    evidence = spark.createDataFrame(evidence, "subject_id string, acquisition_status string, n_frames long, warnings array<string>")
     parts = report.contrast_parts(users, summaries(spark, rows, ["subject_id", "grp", "pos"]), users.select("subject_id"))
-    got = {r.subject_id: r for r in report.report(users.select("subject_id"), context, parts, {}).collect()}
+    state = report.status(users.select("subject_id"), context, evidence, parts["confidence"])
+    seen = users.select("subject_id", "motion_level")
+    got = {r.subject_id: r for r in report.report(state, parts, {"feature_report": seen, "video": seen}).collect()}
     assert got["a"].status == "success" and got["a"].warnings == []
     assert got["b"].status == "partial" and got["b"].warnings == [report.NO_LOWER]
-    assert got["c"].status == "failed" and len(got["c"].warnings) == 2
-    assert all(len(r.feature_comparison) == 9 and r.recommendations == [] and r.confidence == "low" for r in got.values())
+    assert got["c"].status == "failed" and got["c"].warnings == [report.NO_VIDEO] and got["c"].patterns is got["c"].video is got["c"].feature_report is None
+    assert got["d"].status == "partial" and got["d"].warnings == ["gone"] and got["d"].feature_report is None and got["d"].video is not None
+    assert got["e"].status == "success" and got["e"].feature_report is None and got["e"].patterns is not None
+    for s in "abde":
+        p = got[s].patterns
+        assert len(p.feature_comparison) == 9 and p.recommendations == [] and p.confidence == "low"
+
+
+def test_sections_of_the_whole_report(spark, tmp_path):
+    """Every section is there, failed intros have none of theirs and no feature value, and the sink writes a table of each."""
+    from tests.conftest import SF
+    from vidcohort.plans import queries
+
+    rows = queries.full_report(spark, SF)
+    report.write_report(rows, str(tmp_path))
+    back = spark.read.parquet(f"{tmp_path}/report")
+    got = back.collect()
+    assert len(got) == 10 and {r.status for r in got} <= {"success", "partial"}
+    sections = [f.name for f in rows.schema.fields if f.dataType.typeName() == "struct"]
+    assert len(sections) == 14
+    for name in sections:
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == sum(r[name] is not None for r in got) > 0
+    lost = [r for r in got if "The intro could not be acquired." in r.warnings]
+    for r in got:
+        assert (r.vision is None) == (r in lost) and r.semantic_comparison.status == "not_ready"
+        assert r not in lost or {x.user_value for x in r.patterns.feature_comparison} == {"unknown"}
+
+
+def test_job_states(spark):
+    rows = [(1, 1, "queued"), (1, 3, "extracting"), (1, 2, "acquiring"), (2, 1, "failed"), (2, 2, "acquiring"), (3, 5, "x"), (4, 1, "partial"), (4, 2, "complete"), (4, 3, None)]
+    got = {r.job_id: (r.state, r.reports, r.finished) for r in jobs.current(spark.createDataFrame(rows, "job_id long, seq long, state string")).collect()}
+    assert got == {1: ("extracting", 3, False), 2: ("failed", 2, True), 4: ("partial", 2, True)}
+
+
+def test_observation_rows(spark):
+    intros = spark.createDataFrame([("a", 4), ("b", 0), ("c", 4), ("d", None)], "subject_id string, n_frames long")
+    answers = spark.createDataFrame([("a", '{"opening_type":"x","confidence":"high"}'), ("b", '{"opening_type":"x"}')], "subject_id string, text string")
+    got = {r.subject_id: (r.status, r.opening_type, r.confidence, r.warning) for r in ingest.observations(intros, answers, "subject_id").collect()}
+    none = ("failed", None, "low", ingest.NO_FRAMES)
+    assert got == {"a": ("success", "x", "high", None), "b": none, "c": ("failed", None, "low", "VLM observation failed"), "d": none}
+
+
+def test_shapes_and_formats(spark):
+    items = ['{"feature_summary":{"motion_level":"low"}}', '{"features":{"feature_summary":{"motion_level":"high"}}}', "{}", None, "not json"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "i int, item string")
+    assert [r.m for r in df.orderBy("i").select(features.summary_of(F.col("item"))["motion_level"].alias("m")).collect()] == ["low", "high", None, None, None]
+    row = spark.range(1).select(t.title_case(F.lit("it's a SCENE-change é2x")), t.thousands(F.lit(1234567)), t.thousands(F.lit(None).cast("long"))).first()
+    assert tuple(row) == ("It'S A Scene-Change É2X", "1,234,567", "0")

@@ -53,6 +53,17 @@ def normalized(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text(c)), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def title_case(c: Column) -> Column:
+    """Each run of letters with a capital first and small letters after it."""
+    parts = F.regexp_extract_all(text(c), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(p.substr(F.lit(2), F.length(p))))), "")
+
+
+def thousands(c: Column) -> Column:
+    """A whole number with commas; 0 if there is none."""
+    return F.format_number(F.coalesce(c, F.lit(0)), 0)
+
+
 def word_set(c: Column) -> Column:
     """Distinct words of the normalised text."""
     return F.array_distinct(F.filter(F.split(normalized(c), " "), lambda x: x != ""))

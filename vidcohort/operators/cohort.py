@@ -1,9 +1,11 @@
 """Benchmark cohorts: retrieval by shared title words, cleaning, top and lower performers.
 
 Everything is keyed by subject, so one job serves a whole table of subjects. The retrieval is an
-inverted index: tokens of queries join tokens of titles, pairs are counted and each query keeps its
-first fifteen. Only ids and numbers are carried until then; titles and channels are joined to what is
-left. Lists have positions as columns, as rows have no order.
+inverted index over classes: titles with the same words are one class, of which no more than its first
+fifteen videos can be a result, and queries with the same words are one query. Tokens of queries join
+tokens of classes, pairs are counted and each query keeps the first fifteen classes, as each has a video
+at least; only then are their videos ranked. Titles and channels are joined to what is left. Lists have
+positions as columns, as rows have no order.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vidcohort.functions import text as t
+from vidcohort.sources.stored import cut
 
 MAX_RESULTS, TOP, LOWER, LEAST_LOWER, PER_CHANNEL, TITLE_CHARS = 15, 5, 5, 3, 2, 80
+# The reasons that are told.
 STRICT = "Selected relevant lower-view videos with channel separation and a meaningful view gap."
 FALLBACK = "Used fallback lower-performer selection because strict lower set was too small."
 TOO_FEW = "Not enough relevant benchmark candidates to select a lower-performer set."
@@ -31,9 +35,22 @@ def token_overlap(queries: DataFrame, videos: DataFrame) -> DataFrame:
 def candidate_search(queries: DataFrame, videos: DataFrame, most: int = MAX_RESULTS) -> DataFrame:
     """(subject_id, qpos, pos, video_id, overlap, views): the first results of each query, then without the
     subject itself and videos that nobody has seen."""
-    best = Window.partitionBy("subject_id", "qpos").orderBy(F.desc("overlap"), F.desc("views"), "video_id")
-    found = token_overlap(queries, videos).join(videos.select("video_id", "views"), "video_id")
+    words = lambda c: F.array_sort(t.word_set(F.col(c)))
+    seen_most = Window.partitionBy("words").orderBy(F.desc("views"), "video_id")
+    titles = videos.select("video_id", "views", words("title").alias("words")).where(F.size("words") > 0)
+    titles = titles.withColumns({"place": F.row_number().over(seen_most), "class": F.first("video_id").over(seen_most), "mark": F.xxhash64("words")}).where(F.col("place") <= most)
+    titles = cut(titles)  # read twice
+    asked = queries.select("subject_id", "qpos", words("query").alias("asked"))
+    heads = titles.where("place = 1").select("class", "mark", F.col("views").alias("most_seen"), F.explode("words").alias("token"))
+    distinct = cut(asked.select("asked").distinct().withColumn("q", F.monotonically_increasing_id()))  # numbers that stay
+    pairs = distinct.select("q", F.explode("asked").alias("token")).join(heads, "token")
+    pairs = pairs.groupBy("q", "class", "mark", "most_seen").agg(F.count("*").alias("overlap"))
+    best = Window.partitionBy("q").orderBy(F.desc("overlap"), F.desc("most_seen"), "class", "mark")
+    classes = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("q", "class", "mark", "overlap")
+    best = Window.partitionBy("q").orderBy(F.desc("overlap"), F.desc("views"), "video_id")
+    found = classes.join(titles.select("class", "mark", "video_id", "views"), ["class", "mark"])
     found = found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= most)
+    found = asked.join(distinct, "asked").join(found, "q")
     return found.where((F.col("video_id") != F.col("subject_id")) & (F.col("views") > 0)).select("subject_id", "qpos", "pos", "video_id", "overlap", "views")
 
 
@@ -102,16 +119,20 @@ def performers(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def cohorts(subjects: DataFrame, videos: DataFrame, mode: str = "title") -> dict[str, DataFrame]:
-    """All tables of the cohort step, by name."""
+def cohorts(subjects: DataFrame, videos: DataFrame, mode: str = "title", stored: bool = False) -> dict[str, DataFrame]:
+    """All tables of the cohort step, by name.
+
+    With ``stored`` the candidates and the cleaned ones are written first, for callers that read most of the tables.
+    """
+    keep = cut if stored else lambda df: df
     from vidcohort.operators.hypotheses import subject_queries
 
     queries = subject_queries(subjects, mode)
-    candidates = candidate_search(queries, videos)
+    candidates = keep(candidate_search(queries, videos))
     scores = query_scores(queries, candidates)
     best = best_query(scores)
     of_best = candidates.join(best.select("subject_id", "qpos"), ["subject_id", "qpos"]).drop("qpos")
-    cleaned = clean_cohort(of_best, videos)
+    cleaned = keep(clean_cohort(of_best, videos))
     return {"queries": queries, "candidates": candidates, "scores": scores, "best": best, "of_best": of_best, "cleaned": cleaned, "performers": performers(cleaned)}
 
 

@@ -25,9 +25,9 @@ def completeness(rows: DataFrame) -> DataFrame:
 
 
 def best_method(rows: DataFrame, priority: list[str]) -> DataFrame:
-    """One row a video: of the methods that did not fail the first by priority; unknown methods come last."""
+    """One row a video: of the methods that did not fail the first by priority; unknown methods come last, the more complete row first."""
     ranks = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), F.col("method")), F.lit(0)), F.lit(len(priority) + 1))
-    order = Window.partitionBy("video_id").orderBy(ranks, "method")
+    order = Window.partitionBy("video_id").orderBy(ranks, "method", *([F.desc("completeness")] if "completeness" in rows.columns else []))
     return rows.where(F.coalesce("status", F.lit("")) != "failed").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 

@@ -114,6 +114,15 @@ def feature_summary(videos: DataFrame, features: DataFrame, key: str = "video_no
     return rows.withColumns(fixed | {c: F.coalesce(c, F.lit(UNKNOWN)) for c in CLASSES})
 
 
+SUMMARY = "struct<frames_analyzed:bigint,scene_changes:bigint,scene_change_count:bigint," + ",".join(f"{c}:string" for c in CLASSES) + ">"
+
+
+def summary_of(item: Column) -> Column:
+    """The summary in a JSON item of either shape: ``feature_summary`` at the top, or else inside ``features``; null if there is none."""
+    shapes = F.from_json(item, f"struct<feature_summary:{SUMMARY},features:struct<feature_summary:{SUMMARY}>>")
+    return F.coalesce(shapes["feature_summary"], shapes["features"]["feature_summary"])
+
+
 def feature_long(summaries: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, feature_ord, feature, value): a row for each feature, values as lower-case text."""
     pairs = F.array(*[F.struct(F.lit(i).alias("feature_ord"), F.lit(f).alias("feature"), F.col(f).cast("string").alias("raw")) for i, (f, _) in enumerate(FEATURES)])

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 GRID_WIDTH, GRID_HEIGHT = 160, 90
-KIND = "video_id string, frame_no int, luma double, mean_hue double, valid_px long, gray_grid array<double>"
+KIND = "video_id string, frame_no int, luma double, mean_hue double, valid_px long, gray_grid array<float>"
+#: Bytes of pictures that are measured at once.
+AT_ONCE = 16 << 20
 
 
 def gray(bgr: np.ndarray) -> np.ndarray:
@@ -25,16 +27,25 @@ def hue_and_saturation(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shrink(levels: np.ndarray) -> np.ndarray:
-    """Bilinear sample on the fixed grid."""
-    h, w = levels.shape
+    """Bilinear sample of pictures of one size on the fixed grid."""
+    h, w = levels.shape[-2:]
     y = np.clip((np.arange(GRID_HEIGHT) + 0.5) * h / GRID_HEIGHT - 0.5, 0, h - 1)
     x = np.clip((np.arange(GRID_WIDTH) + 0.5) * w / GRID_WIDTH - 0.5, 0, w - 1)
     y0, x0 = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    top = levels[y0][:, x0] * (1 - fx) + levels[y0][:, x1] * fx
-    low = levels[y1][:, x0] * (1 - fx) + levels[y1][:, x1] * fx
-    return top * (1 - fy) + low * fy
+    rows = levels[..., y0, :] * (1 - fy) + levels[..., y1, :] * fy
+    return rows[..., x0] * (1 - fx) + rows[..., x1] * fx
+
+
+def measured(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(luma, mean hue or nan, vivid pixels, grid) of pictures of one size."""
+    levels = gray(images)
+    hue, saturation = hue_and_saturation(images)
+    vivid = saturation > 40
+    n = vivid.sum(axis=(1, 2))
+    mean = np.where(n > 0, (hue * vivid).sum(axis=(1, 2)) / np.maximum(n, 1), np.nan)
+    return levels.mean(axis=(1, 2)), mean, n, shrink(levels).reshape(len(images), -1).astype(np.float32)
 
 
 def frame_metrics(frames: DataFrame) -> DataFrame:
@@ -42,13 +53,15 @@ def frame_metrics(frames: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for v, n, h, w, data in zip(b["video_id"], b["frame_no"], b["height"], b["width"], b["data"]):
-                image = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-                levels = gray(image)
-                hue, saturation = hue_and_saturation(image)
-                vivid = saturation > 40
-                rows.append((v, n, float(levels.mean()), float(hue[vivid].mean()) if vivid.any() else None, int(vivid.sum()), shrink(levels).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["video_id", "frame_no", "luma", "mean_hue", "valid_px", "gray_grid"])
+            for (h, w), same in b.groupby(["height", "width"], sort=False):
+                step = max(1, AT_ONCE // (h * w * 3))
+                for i in range(0, len(same), step):
+                    part = same.iloc[i : i + step]
+                    images = np.frombuffer(b"".join(part["data"]), np.uint8).reshape(-1, h, w, 3)
+                    luma, hue, n, grid = measured(images)
+                    yield pd.DataFrame({
+                        "video_id": part["video_id"].to_numpy(), "frame_no": part["frame_no"].to_numpy(), "luma": luma,
+                        "mean_hue": pd.Series(hue).astype(object).where(~np.isnan(hue), None), "valid_px": n, "gray_grid": list(grid),
+                    })
 
     return frames.where("nChannels = 3").select("video_id", "frame_no", "height", "width", "data").mapInPandas(run, KIND)

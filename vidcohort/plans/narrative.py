@@ -111,12 +111,12 @@ def narrative(videos: DataFrame) -> DataFrame:
     return rows.select("video_id", *rows.columns[1:], F.array(*map(F.lit, r.CURRENCY)).alias("emotional_currency"), *out)
 
 
-def vision_stub(frames: DataFrame) -> DataFrame:
-    """Frame counts, first ten frames and fixed texts for each video (video_id, frame_no, origin)."""
+def vision_stub(frames: DataFrame, key: str = "video_id") -> DataFrame:
+    """Frame counts, first ten frames and fixed texts for each video (key, frame_no, origin)."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "origin"))), lambda x: x["origin"])
-    rows = frames.groupBy("video_id").agg(listed.alias("f"))
+    rows = frames.groupBy(key).agg(listed.alias("f"))
     fixed = [F.lit(v).alias(k) for k, v in r.VISION_STUB.items()]
     return rows.select(
-        "video_id", F.size("f").cast("bigint").alias("frame_count"), F.slice("f", 1, 10).alias("frames_analyzed"), *fixed,
+        key, F.size("f").cast("bigint").alias("frame_count"), F.slice("f", 1, 10).alias("frames_analyzed"), *fixed,
         F.lit(True).alias("is_placeholder"), F.lit(r.VISION_NOTE).alias("note"),
     )

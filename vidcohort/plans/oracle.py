@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from vidcohort.functions import rules as r
 from vidcohort.functions import text as t
-from vidcohort.operators import cohort, contrast, features
+from vidcohort.operators import cohort, contrast, features, jobs
+from vidcohort.plans import report
+from vidcohort.sources import ingest
 
 
 def q(s: str) -> str:
@@ -212,15 +214,18 @@ CONFIDENCE = f"""levels AS (
     count(*) FILTER (WHERE status IN ({', '.join(q(s) for s in contrast.SIGNALS)})) AS usable, count(*) FILTER (WHERE status = 'aligned_with_top') AS aligned,
     count(*) FILTER (WHERE status = 'missing_winning_feature') AS missing, count(*) FILTER (WHERE status = 'risk_signal') AS risks
     FROM subjects s LEFT JOIN contrast c USING (subject_id) GROUP BY s.subject_id))"""
-KEYWORD_VIDEOS = f"kv AS (SELECT doc_id, concat(substr(text, 1, 60), ' ', {listed(r.SAMPLE_KEYWORDS)}[doc_id % {len(r.SAMPLE_KEYWORDS)} + 1]) AS title, source AS description FROM documents)"
-LONG_NUMBER = "lpad(CAST(page_id AS VARCHAR), 11, '0')"
-URLS = f"""urls AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat('https://www.youtube.com/watch?v=', {LONG_NUMBER}, '&t=3') WHEN 1 THEN concat('https://youtu.be/', {LONG_NUMBER}, '?si=x')
-  WHEN 2 THEN concat('https://m.youtube.com/shorts/', {LONG_NUMBER}) WHEN 3 THEN concat('https://youtube.com/embed/', {LONG_NUMBER}, '?a=b') WHEN 4 THEN concat('https://music.youtube.com/live/', {LONG_NUMBER})
-  WHEN 5 THEN concat('http://www.youtube.com/v/', {LONG_NUMBER}) WHEN 6 THEN {LONG_NUMBER} ELSE concat('https://example.org/', {LONG_NUMBER}) END AS url FROM pages)"""
-LOOSE = f"CASE WHEN page_id % 8 IN (0, 1, 2, 3) THEN {LONG_NUMBER} END"
-STRICT = f"CASE WHEN page_id % 8 <= 6 THEN {LONG_NUMBER} END"
+KEYWORD_VIDEOS = f"kv AS (SELECT doc_id, concat(coalesce(text, ''), ' ', {listed(r.SAMPLE_KEYWORDS)}[doc_id % {len(r.SAMPLE_KEYWORDS)} + 1]) AS title, source AS description FROM documents)"
+ID = "substr(md5(coalesce(url, '')), 1, 11)"
+URLS = f"""urls AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat('https://www.youtube.com/watch?v=', {ID}, '&t=3') WHEN 1 THEN concat('https://youtu.be/', {ID}, '?si=x')
+  WHEN 2 THEN concat('https://m.youtube.com/shorts/', {ID}) WHEN 3 THEN concat('https://youtube.com/embed/', {ID}, '?a=b') WHEN 4 THEN concat('https://music.youtube.com/live/', {ID})
+  WHEN 5 THEN concat('http://www.youtube.com/v/', {ID}) WHEN 6 THEN {ID} ELSE url END AS url, {ID} AS id FROM pages)"""
+LOOSE = "CASE WHEN page_id % 8 IN (0, 1, 2, 3) THEN id END"
+STRICT = "CASE WHEN page_id % 8 <= 6 THEN id END"
 TOP_TITLES = "top_titles AS (SELECT channel_id, list(title ORDER BY views DESC, pos)[1:10] AS top_titles FROM recent GROUP BY channel_id)"
 RECENT = "recent AS (SELECT channel_id, CAST(pos AS INTEGER) AS pos, video_id, title, views, likes, comments FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY k, video_id) AS pos FROM videos) WHERE pos <= 12)"
+INTROS = """intros AS (
+  SELECT s.subject_id, e.user_id % 10 = 9 AS failed, CASE WHEN e.user_id % 10 = 9 THEN 0 ELSE least(e.n, 15) END AS n_frames
+  FROM (SELECT subject_id, k % n AS video_no FROM subjects, n_users) s LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON e.user_id = s.video_no)"""
 ANSWERS = """answers AS (
   SELECT conv_id, turn, conv_id % 7 = 0 AS broken, turn AS t, length(text) AS n FROM conversations WHERE role = 'assistant')"""
 
@@ -270,15 +275,14 @@ def oracle_sql() -> dict[str, str]:
       ELSE 'No clear actionable difference was found from the current benchmark evidence.' END"""
     columns = "subject_id, grp, CAST(rank AS INTEGER) AS rank, video_id, views, overlap"
     feature_columns = ", ".join(["frames_analyzed", "scene_changes", "scene_change_count", *features.CLASSES])
-    counted = "CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN ' ' || event_id || ' ' WHEN 2 THEN event_id || '.7' ELSE 'x' || event_id END"
     return {
-        "safe_int": f"SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_id ELSE 0 END AS n FROM (SELECT event_id, {counted} AS x FROM events)",
+        "safe_int": "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(regexp_extract(props, '[0-9]+') AS BIGINT) ELSE 0 END AS n FROM events",
         "clean_text": """SELECT page_id, md5(regexp_replace(replace(replace(replace(regexp_replace(html, '<.*?>', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '^\\s+|\\s+$', '', 'g')) AS clean_md5 FROM pages""",
         "video_id_loose": sql(URLS, f"SELECT page_id, {LOOSE} AS video_id FROM urls"),
         "video_id_strict": sql(URLS, f"SELECT page_id, {STRICT} AS video_id FROM urls"),
         "canonical_url": sql(URLS, f"SELECT page_id, {q(t.WATCH)} || {STRICT} AS url, CASE WHEN page_id % 8 = 7 THEN 'invalid_youtube_url' END AS error_type FROM urls"),
         "normalize_text": f"SELECT doc_id, md5({norm('text')}) AS normalized_md5 FROM documents",
-        "word_set": f"SELECT doc_id, CAST(len({word_list('text')}) AS INTEGER) AS n_words FROM documents",
+        "word_set": f"SELECT doc_id, CAST(len({word_list('text')}) AS INTEGER) AS n_words, md5(array_to_string(list_sort({word_list('text')}), ' ')) AS words_md5 FROM documents",
         "title_query": sql(VIDEOS, SUBJECTS, TITLE_QUERIES, "SELECT * FROM queries"),
         "query_hypotheses": sql(VIDEOS, SUBJECTS, HYPOTHESES, "SELECT * FROM hyp WHERE qpos < 8"),
         "token_overlap": sql(*search, "SELECT subject_id, qpos, video_id, overlap FROM pairs"),
@@ -328,8 +332,32 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN {rate} < 2 THEN {q(r.OPPORTUNITY[0])} WHEN {rate} < 5 THEN {q(r.OPPORTUNITY[1])} ELSE {q(r.OPPORTUNITY[2])} END AS growth_opportunity, {q(r.NEXT_MOVE)} AS next_best_move FROM videos JOIN channels USING (channel_id)"""),
         "narrative": sql(KEYWORD_VIDEOS, "cv AS (SELECT doc_id, " + ", ".join(f"{center(i)} AS {n}" for i, n in enumerate(("center", "audience_desire", "creator_advantage", "growth_direction"))) + " FROM kv)", f"SELECT doc_id AS video_id, center, audience_desire, creator_advantage, growth_direction, '{', '.join(r.CURRENCY)}' AS emotional_currency, {story} FROM cv"),
         "vision_stub": sql(FRAMES, "SELECT CAST(video_no AS VARCHAR) AS video_id, count(*) AS frame_count, string_agg('frame_' || lpad(CAST(frame_no AS VARCHAR), 3, '0'), ',' ORDER BY frame_no) FILTER (WHERE frame_no <= 10) AS frames_analyzed, " + ", ".join(f"{q(v)} AS {k}" for k, v in r.VISION_STUB.items()) + f", true AS is_placeholder, {q(r.VISION_NOTE)} AS note FROM frames GROUP BY video_no"),
-        "evidence_best": """SELECT video_id, method FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY CASE method WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, method) AS n FROM
+        "evidence_best": """SELECT video_id, method, 1 AS schema_version, CASE WHEN video_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS completeness FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY CASE method WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, method) AS n FROM
           (SELECT DISTINCT user_id AS video_id, event_type AS method FROM events WHERE event_id % 3 <> 0)) WHERE n = 1""",
         "evidence_failures": """SELECT event_type AS method, CAST(user_id % 4 AS VARCHAR) AS platform, count(*) AS attempts, round(avg(CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS failure_rate FROM events GROUP BY CUBE (event_type, CAST(user_id % 4 AS VARCHAR))""",
+        "frame_metrics": """WITH g AS (SELECT CAST(vec_id // 10 AS VARCHAR) AS video_id, CAST(vec_id % 10 AS INTEGER) AS frame_no,
+            list_transform(embedding, lambda x: greatest(0.0::DOUBLE, least(255.0::DOUBLE, 128 + 400 * CAST(x AS DOUBLE)))) AS grid FROM embeddings),
+          p AS (SELECT video_id, frame_no, unnest(grid) AS x FROM g)
+          SELECT video_id, frame_no, round(avg(round_even(0.114::DOUBLE * floor(x / 2) + 0.587::DOUBLE * floor(x) + 0.299::DOUBLE * floor(x), 0)), 6) AS luma,
+            CASE WHEN count(*) FILTER (WHERE floor(x) >= 1) > 0 THEN 30.0::DOUBLE END AS mean_hue, count(*) FILTER (WHERE floor(x) >= 1) AS valid_px, 14400 AS grid_px
+          FROM p GROUP BY video_id, frame_no""",
+        "report_status": sql(*feats, INTROS, f"""SELECT subject_id, CASE WHEN warnings = '' THEN 'success' ELSE 'partial' END AS status, warnings, has_intro FROM (
+          SELECT s.subject_id, coalesce(n_frames, 0) > 0 AS has_intro, concat_ws('; ', CASE WHEN failed THEN 'The intro could not be acquired.' END,
+            CASE WHEN (SELECT count(*) FROM members m WHERE m.subject_id = s.subject_id AND grp = 'top') = 0 THEN {q(report.NO_TOP)} END,
+            CASE WHEN (SELECT count(*) FROM members m WHERE m.subject_id = s.subject_id AND grp = 'lower') = 0 THEN {q(report.NO_LOWER)} END) AS warnings
+          FROM subjects s LEFT JOIN intros USING (subject_id))"""),
+        "observation_status": sql(VIDEOS, SUBJECTS, USERS, INTROS, ANSWERS, f"""firsts AS (SELECT conv_id, arg_min(t, turn) AS t, arg_min(n, turn) AS n, bool_or(broken) AS broken FROM answers GROUP BY conv_id),
+          convs AS (SELECT max(conv_id) + 1 AS m FROM conversations)""", f"""SELECT subject_id, CASE WHEN fine THEN 'success' ELSE 'failed' END AS status, CASE WHEN fine THEN 't' || t END AS opening_type,
+            CASE WHEN fine THEN 'w' || n END AS visual_focus, CASE WHEN fine THEN 'high' ELSE 'low' END AS confidence,
+            CASE WHEN n_frames <= 0 THEN {q(ingest.NO_FRAMES)} WHEN NOT fine THEN 'VLM observation failed' END AS warning
+          FROM (SELECT s.subject_id, coalesce(n_frames, 0) AS n_frames, t, f.n, coalesce(n_frames, 0) > 0 AND coalesce(NOT broken, false) AS fine
+            FROM subjects s CROSS JOIN convs LEFT JOIN intros USING (subject_id) LEFT JOIN firsts f ON f.conv_id = s.k % m)"""),
+        "semantic_comparison": sql(VIDEOS, SUBJECTS, "SELECT subject_id, 'not_ready' AS status, 0 AS n_differences, 0 AS n_positions, 'Semantic comparison is not connected yet.' AS warnings FROM subjects"),
+        "job_states": f"""SELECT job_id, coalesce(arg_min(state, seq) FILTER (WHERE list_contains({listed(jobs.FINAL)}, state)), arg_max(state, seq)) AS state, count(*) AS reports,
+            bool_or(list_contains({listed(jobs.FINAL)}, state)) AS finished
+          FROM (SELECT user_id AS job_id, event_id AS seq, {listed(jobs.STATES)}[CASE WHEN event_id % 50 = 0 THEN 5 + user_id % 3 ELSE 1 + event_id % 4 END] AS state FROM events) GROUP BY job_id""",
+        "display_formats": sql(VIDEOS, """SELECT video_id, array_to_string(list_transform(regexp_extract_all(title, '\\p{L}+|\\P{L}+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS shown_title,
+          format('{:,}', views) AS shown_views FROM videos"""),
+        "feature_shapes": sql(VIDEOS, SUBJECTS, FRAMES, intro("intro15", 15), USERS, summary("users", "subjects", "intro15", "subject_id"), "SELECT * FROM users"),
         "evidence_missing": sql(VIDEOS, SUBJECTS, "SELECT video_id, 15 AS intro_seconds FROM subjects WHERE k % 3 <> 0"),
     }

@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidcohort.functions import text as t
-from vidcohort.operators import cohort, contrast, evidence, features, frames, hypotheses
+from vidcohort.operators import cohort, contrast, evidence, features, frames, hypotheses, jobs
 from vidcohort.plans import narrative, report
 from vidcohort.sources import fixtures, ingest
 from vidcohort.sources.fixtures import table
+from vidcohort.sources.stored import cut
 
 
 def _cohorts(spark: SparkSession, sf: str, mode: str = "title") -> tuple[DataFrame, dict[str, DataFrame]]:
-    videos = fixtures.videos(spark, sf)
+    return _cohorts_of(cut(fixtures.videos(spark, sf)), mode)
+
+
+def _cohorts_of(videos: DataFrame, mode: str = "title", stored: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
     subjects = fixtures.subjects(videos)
-    return subjects, cohort.cohorts(subjects, videos, mode)
+    return subjects, cohort.cohorts(subjects, videos, mode, stored)
 
 
 def _numbered(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
@@ -26,52 +30,110 @@ def _numbered(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     return rows.withColumn("video_no", F.col("k") % users.scalar())
 
 
-def _users(spark: SparkSession, sf: str) -> DataFrame:
+def _users(spark: SparkSession, sf: str, videos: DataFrame | None = None) -> DataFrame:
     """Summaries of the subjects' own intros."""
-    subjects = _numbered(spark, sf, fixtures.subjects(fixtures.videos(spark, sf)))
+    subjects = _numbered(spark, sf, fixtures.subjects(videos or fixtures.videos(spark, sf)))
     intros = features.intro_features(fixtures.frame_metrics(spark, sf))
     return features.feature_summary(subjects.select("subject_id", "video_no"), intros).drop("video_no")
 
 
-def _benchmarks(spark: SparkSession, sf: str) -> DataFrame:
+def _benchmarks(spark: SparkSession, sf: str, videos: DataFrame | None = None) -> DataFrame:
     """Summaries of all videos' intros, of the frames that a benchmark has."""
     short = fixtures.frame_metrics(spark, sf).where(F.col("frame_no") <= fixtures.BENCHMARK_FRAMES)
-    videos = _numbered(spark, sf, fixtures.videos(spark, sf)).select("video_id", "video_no")
+    videos = _numbered(spark, sf, videos or fixtures.videos(spark, sf)).select("video_id", "video_no")
     return features.feature_summary(videos, features.intro_features(short)).drop("video_no").withColumn("acquisition_status", F.lit("success"))
 
 
-def _members(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    subjects, parts = _cohorts(spark, sf)
-    return subjects, report.cohort_features(parts["performers"], _benchmarks(spark, sf))
+def _members(spark: SparkSession, sf: str, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    subjects, parts = _cohorts_of(videos, stored=True)
+    return subjects, cut(report.cohort_features(parts["performers"], _benchmarks(spark, sf, videos)))
 
 
 def _parts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    subjects, members = _members(spark, sf)
-    return report.contrast_parts(_users(spark, sf), members, subjects.select("subject_id"))
+    videos = cut(fixtures.videos(spark, sf))
+    subjects, members = _members(spark, sf, videos)
+    return report.contrast_parts(_users(spark, sf, videos), members, subjects.select("subject_id"))
 
 
-def _recent(spark: SparkSession, sf: str) -> DataFrame:
-    videos = fixtures.videos(spark, sf)
+def _recent(spark: SparkSession, sf: str, videos: DataFrame | None = None) -> DataFrame:
+    videos = videos or fixtures.videos(spark, sf)
     return ingest.recent_uploads(videos.select("channel_id", "video_id", F.col("k").alias("item_pos")), videos)
 
 
-def _context(spark: SparkSession, sf: str) -> DataFrame:
-    videos = fixtures.videos(spark, sf)
+def _context(spark: SparkSession, sf: str, videos: DataFrame | None = None) -> DataFrame:
+    videos = videos or fixtures.videos(spark, sf)
     requests = fixtures.subjects(videos).select("subject_id", F.concat(F.lit(t.WATCH), F.col("video_id")).alias("url"))
-    return ingest.video_context(requests, videos, fixtures.channels(videos), _recent(spark, sf))
+    return ingest.video_context(requests, videos, fixtures.channels(videos), _recent(spark, sf, videos))
+
+
+def _intros(spark: SparkSession, sf: str, videos: DataFrame) -> DataFrame:
+    """(subject_id, video_no, acquisition_status, n_frames, warnings) of the subjects' own intros."""
+    subjects = _numbered(spark, sf, fixtures.subjects(videos)).select("subject_id", "video_no")
+    return subjects.join(fixtures.intro_evidence(spark, sf), "video_no", "left")
+
+
+def _answers(spark: SparkSession, sf: str, videos: DataFrame) -> DataFrame:
+    """(subject_id, text): what a model said of the subjects' intros; some have no answer."""
+    conversations = table(spark, sf, "conversations").agg((F.max("conv_id") + 1).alias("n"))
+    subjects = fixtures.subjects(videos).select("subject_id", (F.col("k") % conversations.scalar()).alias("conv_id"))
+    return subjects.join(fixtures.answers(spark, sf), "conv_id").select("subject_id", "text")
 
 
 def full_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole report of every subject."""
-    videos = fixtures.videos(spark, sf)
+    videos = cut(fixtures.videos(spark, sf))
+    recent = cut(_recent(spark, sf, videos))
+    intros = cut(_intros(spark, sf, videos))
+    name = F.concat(F.lit("frame_"), F.lpad(F.col("frame_no").cast("string"), 3, "0")).alias("origin")
+    seen = intros.join(fixtures.frame_metrics(spark, sf).select("video_no", "frame_no", name), "video_no").select("subject_id", "frame_no", "origin")
     return report.run(
-        fixtures.subjects(videos), videos, fixtures.channels(videos), _recent(spark, sf), _context(spark, sf), _users(spark, sf), _benchmarks(spark, sf)
-    )
+        fixtures.subjects(videos), videos, fixtures.channels(videos), recent, _context(spark, sf, videos), _users(spark, sf, videos), _benchmarks(spark, sf, videos),
+        intros, _answers(spark, sf, videos), seen,
+    )
+
+
+def report_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Status and warnings of every subject's report."""
+    videos = cut(fixtures.videos(spark, sf))
+    subjects, members = _members(spark, sf, videos)
+    groups = [F.count_if(F.col("grp") == g).alias(f"n_{g}") for g in ("top", "lower")]
+    rows = report.status(subjects, _context(spark, sf, videos), _intros(spark, sf, videos), members.groupBy("subject_id").agg(*groups))
+    return rows.withColumn("warnings", F.array_join("warnings", "; "))
+
+
+def observation_status(spark: SparkSession, sf: str) -> DataFrame:
+    videos = cut(fixtures.videos(spark, sf))
+    rows = ingest.observations(_intros(spark, sf, videos), _answers(spark, sf, videos), "subject_id")
+    return rows.select("subject_id", "status", "opening_type", "visual_focus", "confidence", "warning")
+
+
+def semantic_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    rows = report.semantic_comparison(fixtures.subjects(fixtures.videos(spark, sf)))
+    return rows.select("subject_id", "status", F.size("semantic_differences").alias("n_differences"), F.size("user_position").alias("n_positions"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+def job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of a user's job; one event in fifty ends it."""
+    i, user = F.col("event_id"), F.col("user_id")
+    state = F.element_at(F.array(*map(F.lit, jobs.STATES)), F.when(i % 50 == 0, 5 + user % 3).otherwise(1 + i % 4).cast("int"))
+    return jobs.current(table(spark, sf, "events").select(user.alias("job_id"), i.alias("seq"), state.alias("state")))
+
+
+def display_formats(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.videos(spark, sf).select("video_id", t.title_case(F.col("title")).alias("shown_title"), t.thousands(F.col("views")).alias("shown_views"))
+
+
+def feature_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries read from JSON items of both shapes."""
+    rows = _users(spark, sf)
+    summary = F.struct(F.struct(*[c for c in rows.columns if c != "subject_id"]).alias("feature_summary"))
+    item = F.when(F.col("subject_id").endswith("0"), F.to_json(summary)).otherwise(F.to_json(F.struct(summary.alias("features"))))
+    return rows.select("subject_id", features.summary_of(item).alias("s")).select("subject_id", "s.*")
 
 
 def safe_int(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
-    s = i.cast("string")
+    s = F.get_json_object("props", "$.k")
     x = F.when(i % 4 == 0, s).when(i % 4 == 1, F.concat(F.lit(" "), s, F.lit(" "))).when(i % 4 == 2, F.concat(s, F.lit(".7"))).otherwise(F.concat(F.lit("x"), s))
     return table(spark, sf, "events").select("event_id", t.safe_int(x).alias("n"))
 
@@ -98,7 +160,8 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_set(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(t.word_set(F.col("text"))).alias("n_words"))
+    words = t.word_set(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(words).alias("n_words"), F.md5(F.array_join(F.array_sort(words), " ")).alias("words_md5"))
 
 
 def title_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +178,8 @@ def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _cohorts(spark, sf)[1]["candidates"]
+    videos = cut(fixtures.videos(spark, sf))
+    return cohort.candidate_search(hypotheses.subject_queries(fixtures.subjects(videos)), videos)
 
 
 def query_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +272,7 @@ def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
         F.col("video_no").cast("string").alias("video_id"), F.col("frame_no").cast("int").alias("frame_no"), F.lit(8).alias("height"), F.lit(8).alias("width"),
         F.lit(3).alias("nChannels"), F.unhex(F.array_join(pixels, "")).alias("data"),
     )
-    return frames.frame_metrics(images).select("video_id", "frame_no", "luma", "mean_hue", "valid_px", F.size("gray_grid").alias("grid_px"))
+    return frames.frame_metrics(images).select("video_id", "frame_no", F.round("luma", 6).alias("luma"), "mean_hue", "valid_px", F.size("gray_grid").alias("grid_px"))
 
 
 def majority_class(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +294,7 @@ def feature_long(spark: SparkSession, sf: str) -> DataFrame:
 
 def cohort_features(spark: SparkSession, sf: str) -> DataFrame:
     names = ["frames_analyzed", "scene_changes", "scene_change_count", *features.CLASSES]
-    return _members(spark, sf)[1].select("subject_id", "grp", "pos", "video_id", *names)
+    return _members(spark, sf, cut(fixtures.videos(spark, sf)))[1].select("subject_id", "grp", "pos", "video_id", *names)
 
 
 def dominant_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,11 +370,11 @@ def vision_stub(spark: SparkSession, sf: str) -> DataFrame:
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     state = F.when(F.col("event_id") % 3 == 0, "failed").otherwise("success")
-    return e.select(F.col("user_id").alias("video_id"), F.col("event_type").alias("method"), (F.col("user_id") % 4).cast("string").alias("platform"), state.alias("status"), F.col("value").alias("frames"))
+    return e.select(F.col("user_id").alias("video_id"), F.col("event_type").alias("method"), (F.col("user_id") % 4).cast("string").alias("platform"), state.alias("status"), F.col("value").alias("frames"), F.when(F.col("user_id") % 2 == 0, "captions").alias("captions"))
 
 
 def evidence_best(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.best_method(evidence.completeness(evidence.unified([_evidence(spark, sf)])), ["purchase", "click"]).select("video_id", "method")
+    return evidence.best_method(evidence.completeness(evidence.unified([_evidence(spark, sf)])), ["purchase", "click"]).select("video_id", "method", "schema_version", "completeness")
 
 
 def evidence_failures(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,6 +393,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         recent_uploads, video_context, ingest_videos, ingest_channels, parse_observations, frame_diff, frame_metrics, majority_class, intro_features,
         feature_summary, feature_long, cohort_features, dominant_values, feature_contrast, recommendations, confidence, verdict, content_world,
         emotional_style, audience_pull, repeatable_patterns, emotional_center, top_titles, content_dna, growth_snapshot, vision_stub,
-        evidence_best, evidence_failures, evidence_missing,
+        evidence_best, evidence_failures, evidence_missing, report_status, observation_status, semantic_comparison, job_states, display_formats, feature_shapes,
     ]
     return {f.__name__: f for f in plain} | {"narrative": narrative_texts, "report": full_report}

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidcohort.operators import cohort, contrast, features
 from vidcohort.plans import narrative
+from vidcohort.sources import ingest
+from vidcohort.sources.stored import cut
 
 ANALYSED = 3
+# The warnings that are told.
+NO_VIDEO = "Could not fetch video data from YouTube."
 NO_TOP = "No top performers intros could be analyzed."
 NO_LOWER = "No lower performers intros could be analyzed."
+#: Sections that a subject has only if its intro was acquired.
+INTRO_SECTIONS = ["vision", "narrative", "feature_report", "intro_observation"]
 
 
 def cohort_features(performers: DataFrame, benchmark_summaries: DataFrame) -> DataFrame:
@@ -33,36 +39,54 @@ def contrast_parts(users: DataFrame, members: DataFrame, subjects: DataFrame) ->
     return {"dominant": dominant, "contrast": table, "confidence": levels, "verdict": contrast.verdict(levels)}
 
 
-def report(subjects: DataFrame, context: DataFrame, parts: dict[str, DataFrame], sections: dict[str, DataFrame]) -> DataFrame:
-    """One nested row a subject: status, warnings and a struct for each section.
+def acquired(evidence: DataFrame) -> Column:
+    """Whether an intro may be analysed: acquired, with frames."""
+    return (F.coalesce("acquisition_status", F.lit("failed")) == "success") & (F.coalesce("n_frames", F.lit(0)) > 0)
 
-    ``context`` has subject_id and status; a subject whose video or channel is missing has a failed row.
-    A group warns if it has no member at all; one with failed members only does not.
+
+def status(subjects: DataFrame, context: DataFrame, evidence: DataFrame, levels: DataFrame) -> DataFrame:
+    """(subject_id, status, warnings, has_intro) of each subject.
+
+    ``context`` has subject_id and status: a subject whose video or channel is missing has failed, with one warning.
+    ``evidence`` has subject_id, acquisition_status, n_frames and warnings: an intro that was not acquired leaves its
+    warnings and makes the report partial. A group warns if it has no member at all; one with failed members only does not.
     """
-    levels = parts["confidence"].select("subject_id", "n_top", "n_lower", "confidence", "confidence_reason")
-    levels = levels.join(parts["verdict"].select("subject_id", "final_verdict"), "subject_id")
+    rows = subjects.select("subject_id").join(context.select("subject_id", F.col("status").alias("found")), "subject_id", "left")
+    rows = rows.join(evidence.select("subject_id", acquired(evidence).alias("has_intro"), F.col("warnings").alias("said")), "subject_id", "left")
+    rows = rows.join(levels.select("subject_id", "n_top", "n_lower"), "subject_id", "left")
+    failed = F.coalesce("found", F.lit("failed")) == "failed"
+    has_intro = F.coalesce("has_intro", F.lit(False)) & ~failed
+    said = F.when(has_intro, F.array().cast("array<string>")).otherwise(F.coalesce("said", F.array().cast("array<string>")))
+    few = F.array_compact(F.array(F.when(F.coalesce("n_top", F.lit(0)) == 0, F.lit(NO_TOP)), F.when(F.coalesce("n_lower", F.lit(0)) == 0, F.lit(NO_LOWER))))
+    rows = rows.select("subject_id", has_intro.alias("has_intro"), failed.alias("failed"), F.when(failed, F.array(F.lit(NO_VIDEO))).otherwise(F.concat(said, few)).alias("warnings"))
+    state = F.when(F.col("failed"), "failed").when(F.size("warnings") > 0, "partial").otherwise("success")
+    return rows.select("subject_id", state.alias("status"), "warnings", "has_intro")
+
+
+def report(state: DataFrame, parts: dict[str, DataFrame], sections: dict[str, DataFrame]) -> DataFrame:
+    """One nested row a subject: status, warnings and a struct for each section; a failed subject has no section."""
+    levels = parts["confidence"].select("subject_id", "confidence", "confidence_reason").join(parts["verdict"].select("subject_id", "final_verdict"), "subject_id")
     item = F.struct("feature_ord", "feature", "label", "user_value", "status", "explanation")
     tip = F.when(contrast.recommended(), F.struct(*contrast.suggestion()))
     listed = parts["contrast"].groupBy("subject_id").agg(
         F.array_sort(F.collect_list(item)).alias("feature_comparison"), F.array_sort(F.collect_list(tip)).alias("recommendations")
     )
-    out = subjects.select("subject_id").join(context.select("subject_id", F.col("status").alias("context_status")), "subject_id", "left")
-    for df in (levels, listed):
-        out = out.join(df, "subject_id", "left")
-    names = []
+    sections = sections | {"patterns": listed.join(levels, "subject_id")}
+    out = state
     for name, df in sections.items():
         out = out.join(df.select("subject_id", F.struct(*[c for c in df.columns if c != "subject_id"]).alias(name)), "subject_id", "left")
-        names.append(name)
-    warnings = F.array_compact(F.array(F.when(F.coalesce("n_top", F.lit(0)) == 0, F.lit(NO_TOP)), F.when(F.coalesce("n_lower", F.lit(0)) == 0, F.lit(NO_LOWER))))
-    failed = F.coalesce("context_status", F.lit("failed")) == "failed"
-    status = F.when(failed, "failed").when(F.size("warnings") > 0, "partial").otherwise("success")
-    out = out.withColumn("warnings", warnings).withColumn("status", status)
-    return out.select("subject_id", "status", "warnings", *names, "feature_comparison", "recommendations", "confidence", "confidence_reason", "final_verdict")
+        shown = F.col("status") != "failed"
+        out = out.withColumn(name, F.when(shown & F.col("has_intro") if name in INTRO_SECTIONS else shown, F.col(name)))
+    return out.select("subject_id", "status", "warnings", *sections)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """The report as Parquet, by status."""
-    rows.write.mode("overwrite").partitionBy("status").parquet(path)
+    """The report as Parquet by status, and a table of each section beside it, of the subjects that have it."""
+    rows = cut(rows)
+    rows.write.mode("overwrite").partitionBy("status").parquet(f"{path}/report")
+    for field in rows.schema.fields:
+        if field.dataType.typeName() == "struct":
+            rows.where(F.col(field.name).isNotNull()).select("subject_id", f"{field.name}.*").write.mode("overwrite").parquet(f"{path}/{field.name}")
 
 
 def texts(videos: DataFrame, channels: DataFrame, titles: DataFrame) -> DataFrame:
@@ -72,12 +96,60 @@ def texts(videos: DataFrame, channels: DataFrame, titles: DataFrame) -> DataFram
     return rows.withColumn("channel_title", F.coalesce("_title", "channel_title")).drop("_title")
 
 
-def run(subjects: DataFrame, videos: DataFrame, channels: DataFrame, recent: DataFrame, context: DataFrame, users: DataFrame, benchmarks: DataFrame, mode: str = "title") -> DataFrame:
-    """Cohorts, features, contrast and texts of all subjects in one job."""
-    groups = cohort.cohorts(subjects, videos, mode)
-    members = cohort_features(groups["performers"], benchmarks)
-    parts = contrast_parts(users, members, subjects)
-    own = texts(subjects.drop("channel_title").withColumn("channel_title", F.col("channel_id")), channels, narrative.top_titles(recent))
+def semantic_comparison(observations: DataFrame) -> DataFrame:
+    """(subject_id, status, semantic_differences, user_position, warnings): observations are not compared yet."""
+    none = F.array().cast("array<string>")
+    # fixed values
+    return observations.select(
+        "subject_id", F.lit("not_ready").alias("status"), none.alias("semantic_differences"), none.alias("user_position"),
+        F.array(F.lit("Semantic comparison is not connected yet.")).alias("warnings"),
+    )
+
+
+def member_lists(members: DataFrame) -> DataFrame:
+    """(subject_id, top_performers, lower_performers): the members of both groups in order, with their features."""
+    one = F.struct("pos", "video_id", "status", "frames_analyzed", "scene_change_count", *features.CLASSES)
+    lists = [F.array_sort(F.collect_list(F.when(F.col("grp") == g, one))).alias(f"{g}_performers") for g in ("top", "lower")]
+    return members.groupBy("subject_id").agg(*lists)
+
+
+def run(
+    subjects: DataFrame, videos: DataFrame, channels: DataFrame, recent: DataFrame, context: DataFrame, users: DataFrame, benchmarks: DataFrame,
+    evidence: DataFrame, answers: DataFrame, frames: DataFrame, mode: str = "title",
+) -> DataFrame:
+    """All sections of all subjects in one job.
+
+    ``users`` and ``evidence`` (acquisition_status, n_frames, warnings) are of the subjects' own intros, ``answers``
+    (subject_id, text) what a model said of them and ``frames`` (subject_id, frame_no, origin) what it saw.
+    """
+    groups = cohort.cohorts(subjects, videos, mode, stored=True)
+    members = cut(cohort_features(groups["performers"], benchmarks))
+    seen = evidence.where(acquired(evidence)).select("subject_id", F.lit(True).alias("_seen"))
+    # an intro that was not acquired has no value of any feature
+    known = users.join(seen, "subject_id", "left")
+    known = known.select(*[F.when(F.col("_seen"), F.col(c)).alias(c) if c in dict(features.FEATURES) else F.col(c) for c in users.columns])
+    parts = contrast_parts(known, members, subjects)
+    parts = parts | {"contrast": cut(parts["contrast"])}
+    levels = cut(contrast.confidence(subjects, members, parts["contrast"]))
+    parts = parts | {"confidence": levels, "verdict": contrast.verdict(levels)}
+    own = cut(texts(subjects.drop("channel_title").withColumn("channel_title", F.col("channel_id")), channels, narrative.top_titles(recent)))
     keyed = lambda df: df.withColumnRenamed("video_id", "subject_id")
-    sections = {"benchmark": cohort.cohort_summary(subjects, groups), "content_dna": keyed(narrative.content_dna(own)), "growth_snapshot": keyed(narrative.growth_snapshot(own)), "narrative": keyed(narrative.narrative(own))}
-    return report(subjects, context, parts, sections)
+    facts = subjects.select("subject_id", "channel_id")
+    upload = F.struct("pos", "video_id", "title", "views", "likes", "comments")
+    uploads = recent.groupBy("channel_id").agg(F.array_sort(F.collect_list(upload)).alias("recent_videos"))  # at most RECENT a channel
+    sections = {
+        "video": subjects.select("subject_id", *[c for c in subjects.columns if c not in ("subject_id", "k")]),
+        "channel": facts.join(channels, "channel_id"),
+        "recent_videos": facts.join(uploads, "channel_id").select("subject_id", "recent_videos"),
+        "category": groups["queries"].groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("qpos", "query"))), lambda x: x["query"]).alias("queries")),
+        "benchmark": cohort.cohort_summary(subjects, groups),
+        "benchmark_features": member_lists(members),
+        "content_dna": keyed(narrative.content_dna(own)),
+        "growth_snapshot": keyed(narrative.growth_snapshot(own)),
+        "vision": narrative.vision_stub(frames, "subject_id"),
+        "narrative": keyed(narrative.narrative(own)),
+        "feature_report": users.select("subject_id", "frames_analyzed", "scene_changes", "scene_change_count", *features.CLASSES),
+        "intro_observation": ingest.observations(evidence.select("subject_id", "n_frames"), answers, "subject_id"),
+        "semantic_comparison": semantic_comparison(subjects),
+    }
+    return report(status(subjects, context, evidence, levels), parts, sections)

@@ -75,11 +75,11 @@ def frame_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every shape of a video URL, by page."""
+    """Every shape of a video URL, by page; the id is taken from the page's own URL, and one page in eight keeps its own."""
     i = F.col("page_id")
-    v = F.lpad(i.cast("string"), 11, "0")
+    v = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 11)
     forms = [("https://www.youtube.com/watch?v=", "&t=3"), ("https://youtu.be/", "?si=x"), ("https://m.youtube.com/shorts/", ""), ("https://youtube.com/embed/", "?a=b"), ("https://music.youtube.com/live/", ""), ("http://www.youtube.com/v/", ""), ("", "")]
-    out = F.concat(F.lit("https://example.org/"), v)
+    out = F.col("url")
     for k, (before, after) in enumerate(forms):
         out = F.when(i % 8 == k, F.concat(F.lit(before), v, F.lit(after))).otherwise(out)
     return table(spark, sf_dir, "pages").select("page_id", out.alias("url"))
@@ -94,8 +94,25 @@ def observations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of documents' first characters with a keyword in them."""
+    """Whole documents with a keyword after them as titles, their sources as descriptions."""
     from vidcohort.functions.rules import SAMPLE_KEYWORDS
 
     word = F.element_at(F.array(*map(F.lit, SAMPLE_KEYWORDS)), (F.col("doc_id") % len(SAMPLE_KEYWORDS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" "), word).alias("title"), F.col("source").alias("description"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), word).alias("title"), F.col("source").alias("description"))
+
+
+def intro_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_no, acquisition_status, n_frames, warnings): one intro in ten could not be acquired."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.least(F.count("*"), F.lit(SUBJECT_FRAMES)).alias("n"))
+    failed = F.col("user_id") % 10 == 9
+    return rows.select(
+        F.col("user_id").alias("video_no"), F.when(failed, "failed").otherwise("success").alias("acquisition_status"),
+        F.when(failed, 0).otherwise(F.col("n")).cast("bigint").alias("n_frames"),
+        F.when(failed, F.array(F.lit("The intro could not be acquired."))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, text): the first answer of each conversation."""
+    first = F.min_by("text", "turn").alias("text")
+    return observations_raw(spark, sf_dir).groupBy("conv_id").agg(first)

@@ -105,6 +105,24 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Fixed value: what is told of an intro without frames.
+NO_FRAMES = "No intro frames available for VLM observation."
+
+
+def observations(intros: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """The observation of each intro (key, n_frames) from a model's answers (key, text).
+
+    An intro without frames has failed, whatever the answers say; so has one without an answer.
+    """
+    said = parse_observations(intros.select(key, "n_frames").join(answers.select(key, "text"), key, "left"), [key, "n_frames"])
+    no_frames = F.coalesce("n_frames", F.lit(0)) <= 0
+    fields = [F.when(~no_frames, F.col(n)).alias(n) for n in OBSERVATION.names[:-1]]
+    return said.select(
+        key, F.when(no_frames, "failed").otherwise(F.col("status")).alias("status"), *fields,
+        F.when(no_frames, "low").otherwise(F.col("confidence")).alias("confidence"), F.when(no_frames, NO_FRAMES).otherwise(F.col("warning")).alias("warning"),
+    )
+
+
 def parse_observations(raw: DataFrame, ids: list[str]) -> DataFrame:
     """Answers of a model (ids, text) as columns; broken JSON and missing text give a failed row with a warning."""
     body = t.json_text(F.col("text"))

@@ -31,13 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``codec`` is for large tables that pack well.
 
     Later stages then start from files that outlive any executor, and not from a long lineage.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

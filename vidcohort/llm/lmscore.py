@@ -16,8 +16,9 @@ The automaton grows with the corpus, so it is nowhere whole; counts lie in bucke
 frequent context spreads over all of them. 1. ``sources``: runs of texts are tokenized once and written. 2. ``counted``:
 a source sends its distinct n-grams and their training counts to the buckets, which add them up and answer each source;
 an n-gram of a third of all texts is one row a source. 3. Each source builds the states and arcs that its texts meet and
-traverses them. The number of buckets follows the number of tokens, so a task's size stays. N-grams are told apart by 48
-bits and their bucket.
+traverses them. The number of buckets follows the number of tokens, so a task's size stays; words are told apart by 48
+bits and their bucket, pairs and triples by 40. ``SOURCE`` is what an executor's memory allows: the larger a source, the
+fewer and the larger are the rows that go to the buckets.
 
 Null texts are empty texts: one end token. A text of any length is scored whole. Without training rows every token has
 the unsmoothed probability 1 of an empty model (log 0). Rows that repeat a doc_id, or have none, are scored one by one;
@@ -38,10 +39,11 @@ ADD = 0.1
 #: Weight, in occurrences, of the shorter context in the probability after a word and after a pair of words.
 PRIOR = (1024.0, 4.0)
 #: Characters that are tokenized at once, and that a source holds at most (a longer text is a source of its own).
-CHUNK, SOURCE = 1 << 20, 1 << 22
+CHUNK, SOURCE = 1 << 20, 1 << 21
 #: Tokens for each bucket of n-grams; each brings up to three.
-BUCKET_TOKENS = 500_000
-LOW = np.uint64((1 << 48) - 1)
+BUCKET_TOKENS = 300_000
+#: Bytes that tell words apart within a bucket, and pairs and triples.
+WORD_BYTES, GRAM_BYTES = 6, 5
 END = np.uint64(0x5EED0E9D0A11CE55)
 BASE = 0x9E3779B97F4A7C15
 _space = np.zeros(256, bool)
@@ -112,12 +114,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as bytes, the lowest byte of all first; as most are small, this packs well."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers as bytes: how many each has, then the lowest byte of all, and so on; as most are small, this packs well."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def read_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return wide(np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1).T).view("<i8")
+
+
+def wide(parts: np.ndarray) -> np.ndarray:
+    """Rows of some bytes as 64-bit numbers."""
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, : parts.shape[1]] = parts
+    return out.view("<u8").ravel()
 
 
 class Grams:
@@ -230,23 +240,23 @@ def counted(runs: DataFrame, buckets: int) -> DataFrame:
                 own, size = grams(words, tokens, lengths)
                 times = own.counts(np.repeat(np.frombuffer(learned, bool), size))
                 order, edges = own.dealt(buckets)
-                low = (own.hashes & LOW)[order]
-                is_word, times = (np.arange(len(order)) < own.sizes[0])[order], times[order]
+                raw = own.hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)
+                words_before = np.append(0, np.cumsum(order < own.sizes[0]))
+                times = times[order]
                 rows = []
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     i, j = edges[k], edges[k + 1]  # in a bucket words come first
-                    keys = np.ascontiguousarray(low[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                    rows.append((k, source, int(is_word[i:j].sum()), keys, planes(times[i:j])))
-                yield pd.DataFrame(rows, columns=["bucket", "source", "n_words", "keys", "times"])
+                    m = i + int(words_before[j] - words_before[i])
+                    rows.append((k, source, m - i, raw[i:m, :WORD_BYTES].tobytes(), raw[m:j, :GRAM_BYTES].tobytes(), planes(times[i:j])))
+                yield pd.DataFrame(rows, columns=["bucket", "source", "n_words", "words", "grams", "times"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, times, words = [], [], []
-        for blob, own, n in zip(pdf["keys"], pdf["times"], pdf["n_words"]):
-            wide = np.zeros((len(blob) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-            keys.append(wide.view("<u8").ravel())
+        for first, second, own, n in zip(pdf["words"], pdf["grams"], pdf["times"], pdf["n_words"]):
+            both = [wide(np.frombuffer(x, np.uint8).reshape(-1, size)) for x, size in ((first, WORD_BYTES), (second, GRAM_BYTES))]
+            keys.append(np.concatenate([both[0], both[1] | np.uint64(1 << 63)]))  # a word is never taken for another n-gram
             times.append(read_planes(own))
-            words.append(np.arange(len(wide)) < n)
+            words.append(np.arange(len(keys[-1])) < n)
         sizes = [len(k) for k in keys]
         keys, times, words = np.concatenate(keys), np.concatenate(times), np.concatenate(words)
         _, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -257,17 +267,17 @@ def counted(runs: DataFrame, buckets: int) -> DataFrame:
         give_back()
         return out.assign(bucket=int(pdf["bucket"].iloc[0])).astype({"source": "Int64"})
 
-    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(tidy(send), "bucket int, source long, n_words long, keys binary, times binary")
+    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(tidy(send), "bucket int, source long, n_words long, words binary, grams binary, times binary")
     return sent.groupBy("bucket").applyInPandas(add, "source long, bucket int, counts binary, tokens long, types long")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(row, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (row, text, train), learning from the rows with train."""
     spark = docs.sparkSession
-    runs = cut(sources(docs))
+    runs = cut(sources(docs), "zstd")
     total = runs.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET_TOKENS))
-    answers = cut(counted(runs, buckets))
+    answers = cut(counted(runs, buckets), "zstd")
     n, v = answers.where("source is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
     def finish(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:

@@ -2,9 +2,9 @@
 
 URLs become small sets of tokens (scheme, host labels, path parts, query keys). FP-growth mines the token sets of the
 labelled pages of each verdict by themselves, so that support is a share of the verdict's own pages and a bad host is
-found however rare it is among all pages. Each frequent set is then counted in all labelled pages and is a rule if at
-least ``MIN_ROWS`` pages have it, the verdict's share among them (confidence) is ``MIN_CONFIDENCE`` or more and
-``MIN_LIFT`` times the verdict's share of all labelled pages or more, unless a smaller set is at least as sure.
+found however rare it is among all pages. A frequent set, counted in all labelled pages, is a rule if at least
+``MIN_ROWS`` pages have it, the verdict's share among them (confidence) is ``MIN_CONFIDENCE`` or more and ``MIN_LIFT``
+times the verdict's share of all labelled pages or more, unless a smaller set is at least as sure.
 
 Rules are matched through an inverted index from token to rule: a rule fires if as many of its tokens are found as it
 has. The surest rule that fires decides; ties go to allow; without any rule the verdict is allow. Given host and path
@@ -69,7 +69,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def frequent(baskets: DataFrame, support: float) -> DataFrame:
-    """(antecedent) sorted token sets of at least that share of the rows of ``baskets`` (items).
+    """(antecedent, n) sorted token sets of at least that share of the rows of ``baskets`` (items), and of how many.
 
     Rarer tokens can be in no such set and are dropped before the mining, which also bounds the items of a row that
     FP-growth has to deal with.
@@ -79,7 +79,7 @@ def frequent(baskets: DataFrame, support: float) -> DataFrame:
     known = F.array(*[F.lit(r["item"]) for r in often.select("item").collect()]).cast("array<string>")  # at most (tokens a URL) / support
     rows = cut(baskets.select(F.array_intersect("items", known).alias("items")))
     sets = FPGrowth(itemsCol="items", minSupport=support).fit(rows).freqItemsets
-    return sets.select(F.array_sort("items").alias("antecedent"))
+    return sets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n"))
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -97,19 +97,28 @@ def mine(
     """(rule_id, antecedent, verdict, confidence) from rows of items and verdict."""
     spark = labelled.sparkSession
     labelled = cut(labelled)
-    totals = {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}  # two verdicts
-    found = spark.createDataFrame([], "antecedent array<string>, verdict string, base double")
-    for verdict, n in sorted(totals.items()):
-        support = max(min_support, min_confidence * min_rows / n)
-        if support <= 1:
-            sets = frequent(labelled.where(F.col("verdict") == verdict), support)
-            found = found.unionByName(sets.withColumns({"verdict": F.lit(verdict), "base": F.lit(n / sum(totals.values()))}))
-    rules = cut(found.withColumn("rule_id", F.xxhash64("verdict", "antecedent")))
-    sets = cut(labelled.groupBy("items").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad")))
-    counts = matched(sets.select("items"), rules).join(sets, "items").groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    rules = rules.join(counts, "rule_id").withColumn("confidence", F.when(F.col("verdict") == "block", F.col("bad")).otherwise(F.col("n") - F.col("bad")) / F.col("n"))
-    sure = (F.col("n") >= min_rows) & (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("base") - 1e-9)
-    rules = cut(rules.where(sure).select("rule_id", "antecedent", "verdict", "confidence"))
+    totals = {"allow": 0, "block": 0} | {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
+    sets = {v: labelled.where(F.col("verdict") == v) for v in totals}
+    least = {v: max(min_support * n, min_confidence * min_rows) for v, n in totals.items()}
+    mined = {}
+    for v, n in totals.items():
+        # mined to half the support: a set that is frequent with one verdict then mostly has its count with the other
+        empty = spark.createDataFrame([], "antecedent array<string>, n bigint")
+        mined[v] = (frequent(sets[v], least[v] / 2 / n) if n >= least[v] else empty).withColumnRenamed("n", v)
+    both = cut(mined["allow"].join(mined["block"], "antecedent", "full"))
+    rules = spark.createDataFrame([], "antecedent array<string>, verdict string, n double, confidence double, rule_id bigint")
+    for v, other in (("allow", "block"), ("block", "allow")):
+        sure = max(min_confidence, min_lift * totals[v] / max(1, sum(totals.values()))) - 1e-9
+        own, rest = F.col(v), F.col(other)
+        found = both.where((own >= least[v]) & (rest.isNull() | (own >= sure * (own + rest)))).withColumn("rule_id", F.xxhash64("antecedent"))
+        found = cut(found)
+        # the rest is counted through the index
+        distinct = sets[other].groupBy("items").agg(F.count("*").alias("times"))
+        counts = matched(distinct.select("items"), found.where(rest.isNull())).join(distinct, "items").groupBy("rule_id").agg(F.sum("times").alias("counted"))
+        found = found.join(counts, "rule_id", "left").withColumn("n", own + F.coalesce(rest, "counted", F.lit(0)))
+        found = found.withColumns({"verdict": F.lit(v), "confidence": own / F.col("n"), "rule_id": F.xxhash64(F.lit(v), "antecedent")})
+        rules = rules.unionByName(found.where((F.col("n") >= min_rows) & (F.col("confidence") >= sure)).select(rules.columns))
+    rules = cut(rules.select("rule_id", "antecedent", "verdict", "confidence"))
     # a rule goes if one with fewer tokens, all of them among its own, is at least as sure of the same verdict
     parts = rules.select(F.col("antecedent").alias("long"), "verdict", F.col("confidence").alias("sure"), F.explode("antecedent").alias("token"))
     short = rules.select(F.col("antecedent").alias("short"), "verdict", "confidence", F.explode("antecedent").alias("token"))

@@ -93,6 +93,34 @@ def test_multikey_order():
     assert rows == sorted(rows)
 
 
+def test_buckets_are_in_byte_order_and_neighbours_decide():
+    """Suffixes of a task come in the order of their bytes, equal neighbours are those with equal bytes, and buckets follow one another."""
+    import pandas as pd
+
+    docs = corpus(3)
+    text = {d: t.encode() for d, t in docs}
+    parts = list(sd.scan([pd.DataFrame({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})]))
+    c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    sd.in_order(c)
+    head = [text[d][a + r : a + r + sd.GRAM] for d, a, r in zip(c["doc"].tolist(), c["at"].tolist(), c["rel"].tolist())]
+    assert head == sorted(head) and len(set(head)) < len(head)
+    run = sd.runs(*(c[t] for t in sd.TOKENS))
+    assert [a == b for a, b in zip(run[1:], run[:-1])] == [a == b for a, b in zip(head[1:], head[:-1])]
+    bounds = c["t0"][np.arange(1, 8) * len(head) // 8]
+    to, wide = sd.bucket_of(c, bounds)
+    low = {b: min(h for h, k in zip(head, to) if k == b)[:8] for b in set(to.tolist())}
+    high = {b: max(h for h, k in zip(head, to) if k == b)[:8] for b in set(to.tolist())}
+    assert all(high[a] <= low[b] for a in low for b in low if a < b)
+    for h, k, w in zip(head, to, wide):  # equal bytes are in one bucket unless their token is on both sides of one
+        assert w or all(k == m for g, m in zip(head, to) if g == h)
+    gone = sd.later(c)
+    segment = [text[d][a : a + w + sd.SIZE - 1] for d, a, w in zip(c["doc"].tolist(), c["at"].tolist(), c["wins"].tolist())]
+    first = {}
+    for s, d, a in zip(segment, c["doc"].tolist(), c["at"].tolist()):
+        first[s] = min(first.get(s, (d, a)), (d, a))
+    assert gone.tolist() == [first[s] < (d, a) for s, d, a in zip(segment, c["doc"].tolist(), c["at"].tolist())]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

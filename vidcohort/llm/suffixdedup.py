@@ -8,13 +8,15 @@ each window of ``SIZE`` bytes picks the start of its ``GRAM``-byte string with t
 (leftmost if equal). Equal windows pick the same place, so comparing the picked suffixes, and then the
 windows that picked them, loses nothing. A suffix stands for a segment: the run of windows that picked it.
 
-1. Splitters sampled from the leading tokens (eight bytes) of suffixes range-partition all suffixes;
-   a task first drops segments that it has seen itself, so a passage in a third of all documents is
-   sent once a task. A token that takes up several splitters is dealt over their buckets.
-2. A bucket sorts by multikey quicksort: by the leading token, then, among ties only, by the next.
-   Neighbours with equal segments keep the earliest; the rest are removed whole. Suffixes that agree
-   at first but whose segments differ, and those of a token that lies on both sides of a boundary
-   between buckets, are compared in full:
+1. A suffix travels with its first ``GRAM`` bytes as tokens of eight. Splitters sampled from the leading
+   tokens range-partition all suffixes; a task first drops segments that it has seen itself, so a
+   passage in a third of all documents is sent once a task. A token that takes up several splitters is
+   dealt over their buckets.
+2. A bucket sorts by multikey quicksort into byte order: by the leading token, then, among ties only, by
+   the next. Neighbours decide: those whose bytes are equal and whose whole segments are (by a hash of
+   64 bits) keep the earliest; the rest are removed whole. Neighbours whose bytes are equal but whose
+   segments differ, and suffixes of a token that lies on both sides of a boundary between buckets, are
+   compared in full:
 3. their segments are fetched from the text, dealt by suffix, and every window is compared byte by
    byte with the earliest that has its hash. Crowded suffixes are split by window offset, as windows
    at different offsets from their suffix never match, and by the bytes that all windows of the same
@@ -42,6 +44,7 @@ from vidcohort.llm.common import cut, drop_cut, give_back, partitions, read_tabl
 
 SIZE, GRAM = 100, 32
 SPAN = SIZE - GRAM + 1  # places a window can pick
+TOKENS = tuple(f"t{i}" for i in range(GRAM // 8))
 PIECE = 1 << 19
 #: Segments a task holds before it sends them on.
 HELD = 1 << 17
@@ -50,7 +53,7 @@ CROWD, OFFSETS = 5_000, 3
 #: Bytes of text for each bucket of suffixes, and of segments for each group that is compared.
 BUCKET_BYTES, GROUP_BYTES = 8 << 20, 2 << 20
 SAMPLE_DOCS = 1_500
-RECORD = (("lead", "<u8"), ("gram", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("wins", "u1"), ("rel", "u1"))
+RECORD = (*((t, "<u8") for t in TOKENS), ("seg", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("wins", "u1"), ("rel", "u1"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,10 +106,11 @@ def segments(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> dict[str,
     piece = np.searchsorted(starts, at, side="right") - 1
     last = starts[piece] + lengths[piece] - SIZE + 1
     wins = np.minimum(np.append(at[1:], len(low) + SIZE), last) - at
-    lead = np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,))[picked].astype(np.uint64)
+    eight = np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,))
+    tokens = {t: eight[picked + 8 * i].astype(np.uint64) for i, t in enumerate(TOKENS)}
     digest = xxhash.xxh3_64_intdigest
     seg = np.array([digest(data[i:j]) for i, j in zip(at.tolist(), (at + wins + SIZE - 1).tolist())], np.uint64)
-    return {"lead": lead, "gram": grams[picked], "seg": seg, "piece": piece, "at": at, "wins": wins, "rel": picked - at}
+    return tokens | {"seg": seg, "piece": piece, "at": at, "wins": wins, "rel": picked - at}
 
 
 def scan(batches):
@@ -165,14 +169,27 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def later(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Which rows have an equal segment at an earlier place; the rows are put in multikey order first."""
-    order = multikey_order(c["lead"], c["gram"], c["seg"], c["doc"], c["at"])
+def in_order(c: dict[str, np.ndarray]) -> None:
+    """Put the rows in byte order of the suffixes; equal ones by segment and place."""
+    order = multikey_order(*(c[t] for t in TOKENS), c["seg"], c["doc"], c["at"])
     for k in c:
         c[k] = c[k][order]
-    if not len(order):
+
+
+def dealing(c: dict[str, np.ndarray]) -> np.ndarray:
+    """A hash of the suffix's first bytes, by which work is dealt."""
+    out = np.zeros(len(c["seg"]), np.uint64)
+    for t in TOKENS:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + c[t])
+    return out
+
+
+def later(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Which rows have an equal segment at an earlier place; the rows are put in order first."""
+    in_order(c)
+    if not len(c["seg"]):
         return np.zeros(0, bool)
-    run = runs(c["lead"], c["gram"], c["seg"])
+    run = runs(*(c[t] for t in TOKENS), c["seg"])
     first = np.searchsorted(run, run)
     return (c["doc"] > c["doc"][first]) | (c["at"] > c["at"][first])
 
@@ -203,8 +220,8 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> np.ndarray:
 
     def run(batches):
         for c in scan(batches):
-            some = c["gram"] % np.uint64(4) == 0
-            yield pd.DataFrame({"lead": c["lead"][some].view(np.int64)})
+            some = c["seg"] % np.uint64(4) == 0
+            yield pd.DataFrame({"lead": c[TOKENS[0]][some].view(np.int64)})
 
     leads = docs.where(draw < wanted / max(1, total)).mapInPandas(tidy(run), "lead long").toPandas()["lead"]
     leads = np.sort(leads.to_numpy(np.int64).view(np.uint64))
@@ -213,9 +230,10 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> np.ndarray:
 
 def bucket_of(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each suffix, and whether its equals lie in several buckets."""
-    low, high = np.searchsorted(bounds, c["lead"], "left"), np.searchsorted(bounds, c["lead"], "right")
+    lead = c[TOKENS[0]]
+    low, high = np.searchsorted(bounds, lead, "left"), np.searchsorted(bounds, lead, "right")
     wide = high - low >= 2
-    deal = np.where(wide, c["seg"], c["gram"]) % (high - low + 1).astype(np.uint64)
+    deal = np.where(wide, c["seg"], dealing(c)) % (high - low + 1).astype(np.uint64)
     return low + deal.astype(np.int64), wide
 
 
@@ -233,7 +251,7 @@ def sort_suffixes(docs: DataFrame) -> DataFrame:
             gone = later(c)
             kept = np.flatnonzero(~gone)
             kept = kept[np.lexsort((c["at"][kept], c["doc"][kept]))]  # packs better
-            to = bucket_of({k: c[k][kept] for k in ("lead", "gram", "seg")}, bounds)[0]
+            to = bucket_of({k: c[k][kept] for k in (*TOKENS, "seg")}, bounds)[0]
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order], prepend=-1))
             rows = [(int(to[part[0]]), pack(c, kept[part]), None) for part in np.split(order, edges[1:]) if len(part)]
@@ -262,13 +280,13 @@ def sort_suffixes(docs: DataFrame) -> DataFrame:
         left = {k: v[~gone] for k, v in c.items()}
         if len(left["at"]):
             wide = bucket_of(left, bounds)[1]
-            run = runs(left["lead"], left["gram"])
+            run = runs(*(left[t] for t in TOKENS))
             size = np.bincount(run)[run]
             size = np.where(wide, CROWD + 1, size)
             open_ = size > 1
             more = pd.DataFrame({
                 "doc_id": left["doc"][open_], "start": left["at"][open_], "stop": (left["at"] + left["wins"] + np.int64(SIZE - 1))[open_],
-                "suffix": left["gram"][open_].view(np.int64), "rel": left["rel"][open_].astype(np.int64), "crowd": size[open_],
+                "suffix": dealing(left)[open_].view(np.int64), "rel": left["rel"][open_].astype(np.int64), "crowd": size[open_],
             })
             out = pd.concat([out.astype({"suffix": "Int64"}), more.astype({"suffix": "Int64"})])
         return out

@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features of a text are the distinct first four, five and eight bytes of its words, hashed to a table
-of ``DIMS`` places. Confirmed toxic texts are the positives; unlabelled texts are all training texts,
+Features of a text are its distinct words, and their first four and five bytes, hashed to a table of
+``DIMS`` places. Confirmed toxic texts are the positives; unlabelled texts are all training texts,
 whatever their label. Only features that are more frequent among the positives than chance explains,
-by ``MIN_LIFT`` times at least, are used. A linear classifier is trained by Adam on the risk
+by ``MIN_LIFT`` times at least, are used; they are compared with the negatives as they are estimated,
+the unlabelled less the prior's share of the positives. A linear classifier is trained by Adam on the risk
 ``prior * R(P, +) + max(0, R(U, -) - prior * R(P, -))`` with the logistic loss; where the second part
 goes below zero its gradient is reversed, which keeps a flexible model from fitting the positives that
 hide among the unlabelled. The prior is the share of toxic texts among the labelled training texts.
@@ -14,6 +15,9 @@ parallel and averaged. Every text is scored, whole.
 
 Null and empty texts have no feature and get the score of the bias. Without positives nothing is
 learned and every score is the prior. A document with several labels is toxic if one of them says so.
+Texts of any length are read whole, about a million characters at a time. Rows that repeat a doc_id
+are scored one by one, and copies among the samples count once. Rows without doc_id are scored, with
+held_out null, and never learned from. Without documents there is no row.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidcohort.llm.common import fold_remainder, read_table
+from vidcohort.llm.common import fold_remainder, read_table, tidy
+from vidcohort.llm.lmscore import powers
 
 BITS = 20
 DIMS = 1 << BITS
 MAX_POSITIVE, MAX_UNLABELLED, MAX_SHARDS = 8_000, 24_000, 4
 MIN_LIFT = 3.0
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _letter = np.zeros(256, bool)
 _letter[ord("a") : ord("z") + 1] = True
@@ -48,8 +53,12 @@ def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     stops = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
     width = np.minimum(stops - starts, 8).astype(np.uint64)
     lead = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[starts] & (np.uint64(2**64 - 1) >> (np.uint64(64) - width * np.uint64(8)))
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    whole = (sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)
     owner = np.searchsorted(ends, starts, side="right")
-    kinds = (lead & np.uint64(0xFFFFFFFF), lead & np.uint64(0xFFFFFFFFFF), lead)
+    kinds = (lead & np.uint64(0xFFFFFFFF), lead & np.uint64(0xFFFFFFFFFF), whole)
     mixed = [((k + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)) for i, k in enumerate(kinds)]
     mixed = [((m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS) for m in mixed]
     return np.tile(owner, 3), np.concatenate(mixed).astype(np.int64)
@@ -75,7 +84,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     n_p, n_u = len(positive), len(unlabelled)
     in_p = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]), minlength=DIMS)
     in_u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]), minlength=DIMS)
-    expected = n_p * (in_u + 0.5) / (n_u + 1)
+    among_u, among_p = (in_u + 0.5) / (n_u + 1), in_p / n_p
+    among_n = np.maximum((among_u - prior * among_p) / (1 - prior), 0.5 / (n_u + 1))
+    expected = n_p * among_n
     lift = in_p / expected
     # Chernoff bound on so many positives by chance, for as many features as were seen
     chance = in_p * np.log(np.maximum(lift, 1)) - in_p + expected
@@ -123,7 +134,7 @@ def sample_features(docs: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(key, np.arange(len(part) + 1) * DIMS)
                 yield pd.DataFrame({"toxic": toxic[at], "features": [(key[i:j] % DIMS).astype(np.int32) for i, j in zip(cuts[:-1], cuts[1:])]})
 
-    return docs.select("text", "toxic").mapInPandas(run, "toxic boolean, features array<int>")
+    return docs.select("text", "toxic").mapInPandas(tidy(run), "toxic boolean, features array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -137,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     docs = docs.where(fold_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
     total = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    hits = docs.join(marks.where("toxic"), "doc_id").where(draw < MAX_POSITIVE / toxic)
+    drawn = marks.where("toxic").where(draw < MAX_POSITIVE / toxic)  # about MAX_POSITIVE ids at most
+    hits = docs.join(F.broadcast(drawn), "doc_id")
     rest = docs.where(draw < MAX_UNLABELLED / max(1, total)).withColumn("toxic", F.lit(False))
     rows = sample_features(hits.unionByName(rest))
     rows = rows.withColumn("key", F.xxhash64("features")).dropDuplicates(["toxic", "key"])  # copies count once

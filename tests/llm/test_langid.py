@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from vidcohort.llm import langid as li
@@ -16,17 +18,56 @@ def test_held_out_accuracy(spark):
 def test_products_equal_the_vectors_cosine(spark):
     """The product table gives the dot product of bundled vectors."""
     df = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
-    langs, table = li.train(df)
+    langs, place, table = li.train(df)
     letters = li.letter_vectors()
     _, tri, n = li.trigram_counts(["the hund"])
-    known = np.abs(table[tri]).sum(axis=1) > 0
+    known = np.abs(table[place[tri]]).sum(axis=1) > 0
     vector = (li.bound(tri[known], letters).astype(float) * n[known, None]).sum(axis=0)
     own = []
     for lang in langs:
         _, t, c = li.trigram_counts([r.text for r in df.collect() if r.lang == lang])
         p = (li.bound(t, letters).astype(float) * c[:, None]).sum(axis=0)
         own.append(vector @ p / np.linalg.norm(p) / np.sqrt(li.DIMS))
-    assert np.allclose(own, (n[:, None] * table[tri]).sum(axis=0), rtol=1e-3)
+    assert np.allclose(own, (n[:, None] * table[place[tri]]).sum(axis=0), rtol=1e-3)
+
+
+def test_query_against_whole_vectors(spark):
+    """Every document against bundles of all its trigram vectors, without the shortcuts of the query."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    letters = li.letter_vectors()
+
+    def bundle(text):
+        _, tri, n = li.trigram_counts([text])
+        return (li.bound(tri, letters).astype(np.float32) * n[:, None].astype(np.float32)).sum(axis=0)
+
+    vectors = {i: bundle(r.text) for i, r in docs.items() if r.text is not None}
+    prototypes = {}
+    for i, r in docs.items():
+        if r.text is not None and r.lang is not None and zlib.crc32(str(i).encode()) % 5:
+            prototypes[r.lang] = prototypes.get(r.lang, 0) + vectors[i]
+    got = {r.doc_id: r for r in li.op10_langid(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    same = []
+    for i, r in docs.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cosine = {k: vectors[i] @ p / np.linalg.norm(vectors[i]) / np.linalg.norm(p) for k, p in prototypes.items()}
+        same.append(got[i].lang_pred == max(cosine, key=cosine.get))
+        assert abs(got[i].score - max(cosine.values())) < 0.05
+    assert np.mean(same) > 0.99
+
+
+def test_long_repeated_and_null_rows_of_the_query(spark, tmp_path):
+    rows = [(1, "the cat and the dog " * 50_000, "en"), (2, "el gato y el perro", "es"), (2, "el gato y el perro", "es"), (None, "the dog", "en"), (2**60 + 1, "the cat", None)]
+    rows += [(k, "the cat and the dog", "en") for k in range(10, 20)] + [(k, "el gato y el perro", "es") for k in range(20, 30)]
+    df = spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, lang string, lang_pred string, held_out boolean")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.lang_pred, r.held_out) for r in li.op10_langid(spark, str(tmp_path)).collect() if (r.doc_id or 0) not in range(10, 30))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert got == [(0, "en", None), (1, "en", fold(1)), (2, "es", fold(2)), (2, "es", fold(2)), (2**60 + 1, "en", fold(2**60 + 1))]
 
 
 def test_odd_rows(spark):

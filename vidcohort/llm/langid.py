@@ -10,7 +10,11 @@ and it is the same for all languages, so that it never decides between them.
 
 Words are runs of letters; anything else is one blank. Null texts and texts without a letter get
 ``und`` and score 0; so does every text if nothing was learned. Ties go to the first language in
-sorted order. Rows with null lang are never learned from.
+sorted order. Rows with null lang are never learned from. Texts of any length are read whole, about a
+million characters at a time. Rows that repeat a doc_id are judged one by one, and learned from as often;
+rows without doc_id are judged, with held_out null, and never learned from. An empty table gives an empty
+result. What is collected and sent to the tasks is a number for each language and each trigram seen with
+any, so it grows with the number of lang values and not with the texts.
 """
 
 from __future__ import annotations
@@ -85,8 +89,9 @@ def bound(trigrams: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return first[a] * second[b] * letters[c]
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and, for every trigram, its product with each language's prototype.
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the place of every trigram in a table, and that table: a trigram's product with each language's
+    prototype. The last place is of all trigrams that were never seen.
 
     ``docs`` has text and lang. Trigram counts are summed by task and then by Spark; the driver gets at
     most one row a language and trigram (``TRIGRAMS`` is the bound).
@@ -117,8 +122,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     known = docs.where("lang is not null and text is not null").select("text", "lang")
     counts = known.mapInPandas(tidy(count), "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
-    table = np.zeros((TRIGRAMS, max(1, len(langs))), np.float32)
     seen = np.unique(counts["trigram"].to_numpy())
+    table = np.zeros((len(seen) + 1, max(1, len(langs))), np.float32)
+    place = np.full(TRIGRAMS, len(seen), np.int32)
+    place[seen] = np.arange(len(seen))
     letters = letter_vectors()
     profile = np.zeros((len(seen), len(langs)), np.float32)
     for k, lang in enumerate(langs):
@@ -129,11 +136,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         prototypes += bound(seen[i : i + 1024], letters).astype(np.float32).T @ profile[i : i + 1024]
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=0), 1e-12)
     for i in range(0, len(seen), 1024):
-        table[seen[i : i + 1024], : len(langs)] = bound(seen[i : i + 1024], letters).astype(np.float32) @ prototypes / np.sqrt(DIMS)
-    return langs, table
+        table[i : i + 1024][: len(seen) - i, : len(langs)] = bound(seen[i : i + 1024], letters).astype(np.float32) @ prototypes / np.sqrt(DIMS)
+    return langs, place, table
 
 
-def predict(texts, langs: list[str], table: np.ndarray) -> pd.DataFrame:
+def predict(texts, langs: list[str], place: np.ndarray, table: np.ndarray) -> pd.DataFrame:
     """(lang, score) of each text."""
     lang, score = np.full(len(texts), NONE, object), np.zeros(len(texts))
     if not langs:
@@ -141,7 +148,7 @@ def predict(texts, langs: list[str], table: np.ndarray) -> pd.DataFrame:
     for at, part in chunks(texts):
         owner, tri, n = trigram_counts(part)
         size = np.sqrt(np.bincount(owner, weights=np.square(n), minlength=len(part)))
-        cosines = np.stack([np.bincount(owner, weights=n * table[tri, k], minlength=len(part)) for k in range(len(langs))], axis=1, dtype=float)
+        cosines = np.stack([np.bincount(owner, weights=n * table[place[tri], k], minlength=len(part)) for k in range(len(langs))], axis=1, dtype=float)
         cosines /= np.maximum(size, 1)[:, None]
         best = cosines.argmax(axis=1)
         some = size > 0
@@ -150,10 +157,9 @@ def predict(texts, langs: list[str], table: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"lang": lang, "score": score})
 
 
-def language(spark: SparkSession, model: tuple[list[str], np.ndarray]):
+def language(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray]):
     """A function from a text column to a struct of lang and score."""
-    langs, table = model
-    shared = spark.sparkContext.broadcast((langs, table))  # TRIGRAMS floats a language
+    shared = spark.sparkContext.broadcast(model)  # at most TRIGRAMS floats a language
 
     @F.pandas_udf("lang string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:

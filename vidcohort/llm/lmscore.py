@@ -39,11 +39,11 @@ ADD = 0.1
 #: Weight, in occurrences, of the shorter context in the probability after a word and after a pair of words.
 PRIOR = (1024.0, 4.0)
 #: Characters that are tokenized at once, and that a source holds at most (a longer text is a source of its own).
-CHUNK, SOURCE = 1 << 20, 1 << 21
+CHUNK, SOURCE = 1 << 20, 1 << 22
 #: Tokens for each bucket of n-grams; each brings up to three.
 BUCKET_TOKENS = 300_000
-#: Bytes that tell words apart within a bucket, and pairs and triples.
-WORD_BYTES, GRAM_BYTES = 6, 5
+#: Bits that tell words apart within a bucket, and pairs and triples.
+WORD_BITS, GRAM_BITS = 48, 40
 END = np.uint64(0x5EED0E9D0A11CE55)
 BASE = 0x9E3779B97F4A7C15
 _space = np.zeros(256, bool)
@@ -114,20 +114,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as bytes: how many each has, then the lowest byte of all, and so on; as most are small, this packs well."""
+    """Numbers, none below zero, as bytes: how many each has, then the lowest byte of all, and so on; as most are small, this packs well."""
     width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
     return bytes([width]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def read_planes(blob: bytes) -> np.ndarray:
-    return wide(np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1).T).view("<i8")
-
-
-def wide(parts: np.ndarray) -> np.ndarray:
-    """Rows of some bytes as 64-bit numbers."""
-    out = np.zeros((len(parts), 8), np.uint8)
-    out[:, : parts.shape[1]] = parts
-    return out.view("<u8").ravel()
+    parts = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((parts.shape[1], 8), np.uint8)
+    out[:, : len(parts)] = parts.T
+    return out.view("<i8").ravel()
 
 
 class Grams:
@@ -160,13 +156,16 @@ class Grams:
         parts = [(self.word, n, some), (self.pair, p, some), (self.triple, t, some & ~self.first)]
         return np.concatenate([np.bincount(at[use], minlength=size) for at, size, use in parts])
 
-    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order, edges) that sort the n-grams by bucket."""
-        to = ((self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        if buckets <= 1 << 16:
-            to = to.astype(np.uint16)
-        order = np.argsort(to, kind="stable")
-        return order, np.searchsorted(to[order], np.arange(buckets + 1))
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, edges, keys): the n-grams by bucket, words first, each by its key, and the keys in that order."""
+        to = (self.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        gram = np.arange(len(self.hashes)) >= self.sizes[0]
+        keys = self.hashes & np.where(gram, np.uint64((1 << GRAM_BITS) - 1), np.uint64((1 << WORD_BITS) - 1))
+        if buckets < 1 << 63 - WORD_BITS - 1:
+            order = np.argsort(to << np.uint64(WORD_BITS + 1) | gram.astype(np.uint64) << np.uint64(WORD_BITS) | keys, kind="stable")
+        else:
+            order = np.lexsort((keys, gram, to))
+        return order, np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64)), keys[order].astype(np.int64)
 
     def traverse(self, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
         """(log10 of the words' own probability, weight of the way) of each token, given the corpus counts of the n-grams.
@@ -239,24 +238,23 @@ def counted(runs: DataFrame, buckets: int) -> DataFrame:
             for source, words, tokens, lengths, learned in zip(b["source"], b["words"], b["tokens"], b["lengths"], b["learned"]):
                 own, size = grams(words, tokens, lengths)
                 times = own.counts(np.repeat(np.frombuffer(learned, bool), size))
-                order, edges = own.dealt(buckets)
-                raw = own.hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)
+                order, edges, keys = own.dealt(buckets)
                 words_before = np.append(0, np.cumsum(order < own.sizes[0]))
                 times = times[order]
                 rows = []
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     i, j = edges[k], edges[k + 1]  # in a bucket words come first
                     m = i + int(words_before[j] - words_before[i])
-                    rows.append((k, source, m - i, raw[i:m, :WORD_BYTES].tobytes(), raw[m:j, :GRAM_BYTES].tobytes(), planes(times[i:j])))
-                yield pd.DataFrame(rows, columns=["bucket", "source", "n_words", "words", "grams", "times"])
+                    rows.append((k, source, planes(np.diff(keys[i:m], prepend=0)), planes(np.diff(keys[m:j], prepend=0)), planes(times[i:j])))
+                yield pd.DataFrame(rows, columns=["bucket", "source", "words", "grams", "times"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, times, words = [], [], []
-        for first, second, own, n in zip(pdf["words"], pdf["grams"], pdf["times"], pdf["n_words"]):
-            both = [wide(np.frombuffer(x, np.uint8).reshape(-1, size)) for x, size in ((first, WORD_BYTES), (second, GRAM_BYTES))]
-            keys.append(np.concatenate([both[0], both[1] | np.uint64(1 << 63)]))  # a word is never taken for another n-gram
+        for first, second, own in zip(pdf["words"], pdf["grams"], pdf["times"]):
+            first, second = np.cumsum(read_planes(first)), np.cumsum(read_planes(second))
+            keys.append(np.append(first, second | 1 << 62))  # a word is never taken for another n-gram
             times.append(read_planes(own))
-            words.append(np.arange(len(keys[-1])) < n)
+            words.append(np.arange(len(keys[-1])) < len(first))
         sizes = [len(k) for k in keys]
         keys, times, words = np.concatenate(keys), np.concatenate(times), np.concatenate(words)
         _, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -267,7 +265,7 @@ def counted(runs: DataFrame, buckets: int) -> DataFrame:
         give_back()
         return out.assign(bucket=int(pdf["bucket"].iloc[0])).astype({"source": "Int64"})
 
-    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(tidy(send), "bucket int, source long, n_words long, words binary, grams binary, times binary")
+    sent = runs.select("source", "words", "tokens", "lengths", "learned").mapInPandas(tidy(send), "bucket int, source long, words binary, grams binary, times binary")
     return sent.groupBy("bucket").applyInPandas(add, "source long, bucket int, counts binary, tokens long, types long")
 
 

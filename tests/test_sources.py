@@ -74,16 +74,17 @@ def test_observations(spark):
 
 
 def test_landed_responses_and_stream(spark, tmp_path):
-    item = lambda i, thumbs: {"id": i, "snippet": {"title": "<b>T</b>", "thumbnails": thumbs}, "statistics": {"viewCount": "7"}, "contentDetails": {"duration": "PT1S"}}
+    item = lambda i, thumbs, views="7": {"id": i, "snippet": {"title": "<b>T</b>", "thumbnails": thumbs}, "statistics": {"viewCount": views}, "contentDetails": {"duration": "PT1S"}}
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps({"items": [item("a", {"default": {"url": "d"}, "high": {"url": "h"}}), item("b", {})]}))
     (tmp_path / "in/b.json").write_text(json.dumps({"items": []}))
     rows = {r.video_id: r for r in ingest.videos(ingest.read_landed(spark, str(tmp_path / "in"), ingest.VIDEO_ITEMS)).collect()}
     assert rows.keys() == {"a", "b"} and rows["a"].thumbnail == "h" and rows["b"].thumbnail == "" and rows["a"].views == 7 and rows["a"].likes == 0 and rows["a"].title == "T"
-    for extra in ("b", "c"):
-        (tmp_path / f"in/{extra}2.json").write_text(json.dumps({"items": [item(extra, {}), item("a", {})]}))
+    for views, extra in ((8, "b"), (5, "c")):
+        (tmp_path / f"in/{extra}2.json").write_text(json.dumps({"items": [item(extra, {}), item("a", {}, str(views)), item("a", {}, "1"), item(None, {})]}))
         incremental.stream_videos(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted(r.video_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    got = incremental.latest_videos(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.video_id, r.views) for r in got) == [("a", 5), ("b", 7), ("c", 7)]
 
 
 def test_missing_channel_gives_a_failed_row(spark):

@@ -1,26 +1,31 @@
-"""Incremental ingest: landed responses as a stream into a table without repeats.
+"""Incremental ingest: landed responses as a stream into a table of versions, and its latest rows.
 
-Nothing in the batch operators is specific to streams; this only feeds them as files land.
+Nothing in the batch operators is specific to streams; this only feeds them as files land. A micro-batch writes what it
+brought as one partition of the table and reads nothing of it, so its cost follows the batch and not the table; a batch
+that is run again replaces its own partition. Repeats are settled when the table is read: the latest version of a video counts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vidcohort.sources import ingest
 
 
 def stream_videos(spark: SparkSession, landed: str, table: str, checkpoint: str):
-    """Start (available data, then stop) an append of videos that the table does not have yet."""
+    """Start (available data, then stop) a write of landed videos into ``table``, a partition a micro-batch."""
     rows = ingest.videos(ingest.read_landed(spark, landed, ingest.VIDEO_ITEMS, streaming=True))
 
-    def add(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(["video_id"])
-        try:
-            new = new.join(batch.sparkSession.read.parquet(table).select("video_id"), "video_id", "left_anti")
-        except Exception as e:  # the table is made by the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(table)
+    def add(batch: DataFrame, number: int) -> None:
+        batch.where(F.col("video_id").isNotNull()).write.mode("overwrite").parquet(f"{table}/batch={number:09d}")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_videos(spark: SparkSession, table: str) -> DataFrame:
+    """One row a video, of the latest micro-batch that brought it; of several in one batch that with most views."""
+    rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
+    order = Window.partitionBy("video_id").orderBy(F.desc("batch"), F.desc("views"), "title")
+    return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "batch")

@@ -4,53 +4,21 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidcohort.sources.stored import cut, drop_cut, shared_dir
+
+__all__ = ["connected_components", "cut", "drop_cut", "fold_remainder", "give_back", "partitions", "read_table", "shared_dir", "tidy"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, through Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only if that is unset and the session is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; ``codec`` is for large tables that pack well.
-
-    Later stages then start from files that outlive any executor, and not from a long lineage.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``cut`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def give_back() -> None:
     """Return freed memory to the machine: Python workers outlive their tasks and would hold it while others need it."""
     pa.default_memory_pool().release_unused()

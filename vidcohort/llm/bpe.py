@@ -29,7 +29,7 @@ from vidcohort.llm.common import give_back, read_table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_TOKENS, CACHED_LENGTH = 1 << 17, 48
 #: Entries that a worker keeps from one task to the next.
-KEPT_TOKENS = 1 << 14
+KEPT_TOKENS = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:

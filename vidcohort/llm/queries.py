@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vidcohort.llm import linededup, pipeline
 from vidcohort.llm.bpe import op7_bpe
+from vidcohort.llm.convrepair import op13_convrepair
 from vidcohort.llm.decontam import op4_decontam
 from vidcohort.llm.langid import op10_langid
 from vidcohort.llm.lmscore import op9_lmscore
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_linededup": linededup.op8_linededup,
         "op9_lmscore": op9_lmscore,
         "op10_langid": op10_langid,
+        "op13_convrepair": op13_convrepair,
         "pipeline": pipeline.run,
     }
 

@@ -13,7 +13,9 @@ from vidcohort.llm.decontam import op4_decontam
 from vidcohort.llm.langid import op10_langid
 from vidcohort.llm.lmscore import op9_lmscore
 from vidcohort.llm.media import op5_media
+from vidcohort.llm.pii import op12_pii
 from vidcohort.llm.simhash import op1_simhash
+from vidcohort.llm.spelling import op11_spelling
 from vidcohort.llm.suffixdedup import op3_suffixdedup
 from vidcohort.llm.toxicity import op2_toxicity
 from vidcohort.llm.urlfilter import op6_urlfilter
@@ -31,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_linededup": linededup.op8_linededup,
         "op9_lmscore": op9_lmscore,
         "op10_langid": op10_langid,
+        "op11_spelling": op11_spelling,
+        "op12_pii": op12_pii,
         "op13_convrepair": op13_convrepair,
         "pipeline": pipeline.run,
     }

@@ -83,18 +83,26 @@ def sequences(rows: DataFrame) -> DataFrame:
         .select("conv_id", "timed", "turn", F.left("role", F.lit(1)).alias("initial"), "n", "blank", "open", "again", F.spark_partition_id().alias("part"))
     )
 
+    names = ["timed", "turn", "initial", "n", "blank", "open", "again"]
+
     def run(batches):
-        k = 0
+        k, part = 0, None
         for b in batches:
-            if not len(b):
-                continue
-            last, this = b["conv_id"].shift(), b["conv_id"]
-            starts = (this.ne(last) & ~(this.isna() & last.isna())).cumsum().to_numpy()
-            out = []
-            for _, g in b.groupby(starts, sort=False):
-                for lo in range(0, len(g), STRETCH):
-                    out.append((k, *stretch(g.iloc[lo : lo + STRETCH])))
+            out, cid, own = [], None, []
+
+            def close():
+                nonlocal k
+                if own:
+                    out.append((k, cid, part, *stretch(own)))
                     k += 1
+
+            for c, part, *row in zip(b["conv_id"], b["part"], *(b[x] for x in names)):
+                if own and (c != cid or len(own) >= STRETCH):
+                    close()
+                    own = []
+                cid = c
+                own.append(row)
+            close()
             yield pd.DataFrame(out, columns=["k", "conv_id", "part", "letters", "low", "high", "turns"])
 
     parts = ordered.mapInPandas(run, "k long, conv_id string, part int, letters string, low long, high long, turns long")
@@ -117,10 +125,10 @@ def sequences(rows: DataFrame) -> DataFrame:
     return found
 
 
-def stretch(g: pd.DataFrame) -> tuple:
-    """conv_id, partition, letters, and the least, the greatest and the number of turns of consecutive rows of a conversation."""
+def stretch(rows: list) -> tuple:
+    """Letters, and the least, the greatest and the number of turns, of consecutive rows of a conversation."""
     letters, turns = [], []
-    for timed, turn, initial, n, blank, cut_off, again in zip(g["timed"], g["turn"], g["initial"], g["n"], g["blank"], g["open"], g["again"]):
+    for timed, turn, initial, n, blank, cut_off, again in rows:
         if not n:
             continue
         if blank:
@@ -131,7 +139,7 @@ def stretch(g: pd.DataFrame) -> tuple:
         if timed and (not turns or turns[-1] != turn):
             turns.append(turn)
     ends = (turns[0], turns[-1]) if turns else (0, 0)
-    return (g["conv_id"].iloc[0], g["part"].iloc[0], "".join(letters), *ends, len(turns))
+    return ("".join(letters), *ends, len(turns))
 
 
 def grammar(distinct: DataFrame) -> list[tuple[str, str]]:

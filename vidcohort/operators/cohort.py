@@ -1,11 +1,10 @@
 """Benchmark cohorts: retrieval by shared title words, cleaning, top and lower performers.
 
 Everything is keyed by subject, so one job serves a whole table of subjects. The retrieval is an
-inverted index over classes: titles with the same words are one class, of which no more than its first
-fifteen videos can be a result, and queries with the same words are one query. Tokens of queries join
-tokens of classes, pairs are counted and each query keeps the first fifteen classes, as each has a video
-at least; only then are their videos ranked. Titles and channels are joined to what is left. Lists have
-positions as columns, as rows have no order.
+inverted index over classes (``search``): titles with the same words are one class, of which no more than its first
+fifteen videos can be a result, and queries with the same words are one query. Each query keeps the first fifteen
+classes, as each has a video at least; only then are their videos ranked. Titles and channels are joined to
+what is left. Lists have positions as columns, as rows have no order.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vidcohort.functions import text as t
+from vidcohort.operators.search import search
 from vidcohort.sources.stored import cut
 
 MAX_RESULTS, TOP, LOWER, LEAST_LOWER, PER_CHANNEL, TITLE_CHARS = 15, 5, 5, 3, 2, 80
@@ -38,19 +38,16 @@ def candidate_search(queries: DataFrame, videos: DataFrame, most: int = MAX_RESU
     words = lambda c: F.array_sort(t.word_set(F.col(c)))
     seen_most = Window.partitionBy("words").orderBy(F.desc("views"), "video_id")
     titles = videos.select("video_id", "views", words("title").alias("words")).where(F.size("words") > 0)
-    titles = titles.withColumns({"place": F.row_number().over(seen_most), "class": F.first("video_id").over(seen_most), "mark": F.xxhash64("words")}).where(F.col("place") <= most)
-    titles = cut(titles)  # read twice
-    asked = queries.select("subject_id", "qpos", words("query").alias("asked"))
-    heads = titles.where("place = 1").select("class", "mark", F.col("views").alias("most_seen"), F.explode("words").alias("token"))
-    distinct = cut(asked.select("asked").distinct().withColumn("q", F.monotonically_increasing_id()))  # numbers that stay
-    pairs = distinct.select("q", F.explode("asked").alias("token")).join(heads, "token")
-    pairs = pairs.groupBy("q", "class", "mark", "most_seen").agg(F.count("*").alias("overlap"))
-    best = Window.partitionBy("q").orderBy(F.desc("overlap"), F.desc("most_seen"), "class", "mark")
-    classes = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("q", "class", "mark", "overlap")
+    titles = cut(titles.withColumn("place", F.row_number().over(seen_most)).where(F.col("place") <= most).withColumn("mark", F.xxhash64("words")))
+    heads = titles.where("place = 1").select(F.col("video_id").alias("class"), "mark", F.col("views").alias("most_seen"), "words")
+    asked = queries.select("subject_id", "qpos", words("query").alias("words")).where(F.size("words") > 0)
+    distinct = cut(asked.select("words").distinct().withColumn("q", F.monotonically_increasing_id()))  # numbers that stay
+    classes = search(distinct, heads, most)
+    named = titles.where("place = 1").select(F.col("video_id").alias("class"), "mark", F.col("words").alias("title_words"))
     best = Window.partitionBy("q").orderBy(F.desc("overlap"), F.desc("views"), "video_id")
-    found = classes.join(titles.select("class", "mark", "video_id", "views"), ["class", "mark"])
-    found = found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= most)
-    found = asked.join(distinct, "asked").join(found, "q")
+    found = classes.join(named, ["class", "mark"]).join(titles.select(F.col("words").alias("title_words"), "video_id", "views"), "title_words")
+    found = found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= most).select("q", "pos", "video_id", "overlap", "views")
+    found = asked.join(distinct, "words").join(found, "q")
     return found.where((F.col("video_id") != F.col("subject_id")) & (F.col("views") > 0)).select("subject_id", "qpos", "pos", "video_id", "overlap", "views")
 
 

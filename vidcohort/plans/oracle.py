@@ -239,6 +239,8 @@ def squeezed(c: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from vidcohort.plans import oracle_more
+
     search = (VIDEOS, SUBJECTS, TITLE_QUERIES, SEARCH)
     hyp_search = (VIDEOS, SUBJECTS, HYPOTHESES, SEARCH)
     full = (*search, COHORT)
@@ -352,12 +354,10 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN n_frames <= 0 THEN {q(ingest.NO_FRAMES)} WHEN NOT fine THEN 'VLM observation failed' END AS warning
           FROM (SELECT s.subject_id, coalesce(n_frames, 0) AS n_frames, t, f.n, coalesce(n_frames, 0) > 0 AND coalesce(NOT broken, false) AS fine
             FROM subjects s CROSS JOIN convs LEFT JOIN intros USING (subject_id) LEFT JOIN firsts f ON f.conv_id = s.k % m)"""),
-        "semantic_comparison": sql(VIDEOS, SUBJECTS, "SELECT subject_id, 'not_ready' AS status, 0 AS n_differences, 0 AS n_positions, 'Semantic comparison is not connected yet.' AS warnings FROM subjects"),
         "job_states": f"""SELECT job_id, coalesce(arg_min(state, seq) FILTER (WHERE list_contains({listed(jobs.FINAL)}, state)), arg_max(state, seq)) AS state, count(*) AS reports,
             bool_or(list_contains({listed(jobs.FINAL)}, state)) AS finished
           FROM (SELECT user_id AS job_id, event_id AS seq, {listed(jobs.STATES)}[CASE WHEN event_id % 50 = 0 THEN 5 + user_id % 3 ELSE 1 + event_id % 4 END] AS state FROM events) GROUP BY job_id""",
         "display_formats": sql(VIDEOS, """SELECT video_id, array_to_string(list_transform(regexp_extract_all(title, '\\p{L}+|\\P{L}+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS shown_title,
           format('{:,}', views) AS shown_views FROM videos"""),
         "feature_shapes": sql(VIDEOS, SUBJECTS, FRAMES, intro("intro15", 15), USERS, summary("users", "subjects", "intro15", "subject_id"), "SELECT * FROM users"),
-        "evidence_missing": sql(VIDEOS, SUBJECTS, "SELECT video_id, 15 AS intro_seconds FROM subjects WHERE k % 3 <> 0"),
-    }
+    } | oracle_more.oracle_sql(feats)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from vidcohort.functions import rules as r
 from vidcohort.functions import text as t
-from vidcohort.operators import cohort, contrast, evidence, features, frames, hypotheses, jobs
+from vidcohort.operators import cohort, contrast, evidence, features, frames, hypotheses, jobs, rulematch
 from vidcohort.plans import narrative, report
 from vidcohort.sources import fixtures, ingest
+from vidcohort.sources.featurestore import FeatureStore
 from vidcohort.sources.fixtures import table
-from vidcohort.sources.stored import cut
+from vidcohort.sources.stored import cut, shared_dir
 
 
 def _cohorts(spark: SparkSession, sf: str, mode: str = "title") -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -88,7 +92,7 @@ def full_report(spark: SparkSession, sf: str) -> DataFrame:
     seen = intros.join(fixtures.frame_metrics(spark, sf).select("video_no", "frame_no", name), "video_no").select("subject_id", "frame_no", "origin")
     return report.run(
         fixtures.subjects(videos), videos, fixtures.channels(videos), recent, _context(spark, sf, videos), _users(spark, sf, videos), _benchmarks(spark, sf, videos),
-        intros, _answers(spark, sf, videos), seen,
+        intros, _answers(spark, sf, videos), seen, observations=fixtures.video_observations(spark, sf, videos),
     )
 
 
@@ -107,9 +111,22 @@ def observation_status(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("subject_id", "status", "opening_type", "visual_focus", "confidence", "warning")
 
 
+def _semantic(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Subjects, and the positions of their observations."""
+    videos = cut(fixtures.videos(spark, sf))
+    subjects, members = _members(spark, sf, videos)
+    return subjects, report.compared(subjects, members, fixtures.video_observations(spark, sf, videos))
+
+
+def semantic_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Typical observations of both groups, field by field, and the subject's distance to them."""
+    rows = _semantic(spark, sf)[1]
+    return rows.select("subject_id", "field", "top_medoid", "lower_medoid", F.round("top_distance", 9).alias("top_distance"), F.round("lower_distance", 9).alias("lower_distance"), "position")
+
+
 def semantic_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    rows = report.semantic_comparison(fixtures.subjects(fixtures.videos(spark, sf)))
-    return rows.select("subject_id", "status", F.size("semantic_differences").alias("n_differences"), F.size("user_position").alias("n_positions"), F.array_join("warnings", "; ").alias("warnings"))
+    rows = report.semantic.comparison(*_semantic(spark, sf))
+    return rows.select("subject_id", "status", *[F.array_join(c, "; ").alias(c) for c in ("semantic_differences", "user_position", "warnings")])
 
 
 def job_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,6 +136,19 @@ def job_states(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.current(table(spark, sf, "events").select(user.alias("job_id"), i.alias("seq"), state.alias("state")))
 
 
+def _job_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports that mostly go through the states in their order; some come twice, some out of order."""
+    i, user = F.col("event_id"), F.col("user_id")
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf, "events").select("user_id", "event_id").withColumn("n", F.row_number().over(order) - 1)
+    place = F.when(i % 9 == 0, 1 + i % 7).when(F.col("n") < 8, 1 + F.expr("n div 2")).otherwise(5 + user % 3).cast("int")
+    return rows.select(user.alias("job_id"), i.alias("seq"), F.element_at(F.array(*map(F.lit, jobs.STATES)), place).alias("state"))
+
+
+def job_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.settled(_job_reports(spark, sf))
+
+
 def display_formats(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.videos(spark, sf).select("video_id", t.title_case(F.col("title")).alias("shown_title"), t.thousands(F.col("views")).alias("shown_views"))
 
@@ -381,9 +411,84 @@ def evidence_failures(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.failure_rates(_evidence(spark, sf)).withColumn("failure_rate", F.round("failure_rate", 9))
 
 
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    """(video_id, intro_seconds, video_no): the benchmark window of every video and the longer one of every subject."""
+    videos = _numbered(spark, sf, cut(fixtures.videos(spark, sf)))
+    one = lambda rows, n: rows.select("video_id", F.lit(n).alias("intro_seconds"), "video_no")
+    return one(videos, fixtures.BENCHMARK_FRAMES).unionByName(one(fixtures.subjects(videos), fixtures.SUBJECT_FRAMES))
+
+
+def _stored(spark: SparkSession, sf: str, asked: DataFrame) -> FeatureStore:
+    """A store that two runs have filled with the intros that could be acquired; the first of them was sent twice."""
+    store = FeatureStore(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", ["video_id", "intro_seconds"], 8)
+    rows = asked.join(fixtures.intro_evidence(spark, sf).where("acquisition_status = 'success'"), "video_no").select("video_id", "intro_seconds", "n_frames")
+    for run, seconds in (("benchmarks", fixtures.BENCHMARK_FRAMES), ("subjects", fixtures.SUBJECT_FRAMES), ("benchmarks", fixtures.BENCHMARK_FRAMES)):
+        store.upsert(rows.where(F.col("intro_seconds") == seconds), run)
+    return store
+
+
 def evidence_missing(spark: SparkSession, sf: str) -> DataFrame:
-    asked = fixtures.subjects(fixtures.videos(spark, sf)).select("video_id", "k", F.lit(fixtures.SUBJECT_FRAMES).alias("intro_seconds"))
-    return evidence.missing(asked, asked.where("k % 3 = 0")).select("video_id", "intro_seconds")
+    """Windows that the store of acquired intros does not have."""
+    asked = cut(_windows(spark, sf))
+    return _stored(spark, sf, asked).missing(asked).select("video_id", "intro_seconds")
+
+
+def evidence_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """What the store has of the windows that are asked for."""
+    asked = cut(_windows(spark, sf))
+    return _stored(spark, sf, asked).known(asked).select("video_id", "intro_seconds", "n_frames")
+
+
+def landed_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.quality(ingest.checked(fixtures.responses(fixtures.videos(spark, sf)), ingest.VIDEO_ITEMS))
+
+
+def landed_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ingest.put_aside(ingest.checked(fixtures.responses(fixtures.videos(spark, sf)), ingest.VIDEO_ITEMS))
+    return rows.groupBy("origin", "reason", "item_pos").agg(F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
+
+
+def landed_videos(spark: SparkSession, sf: str) -> DataFrame:
+    """The videos of the items that can be used."""
+    rows = ingest.videos(ingest.usable(ingest.checked(fixtures.responses(fixtures.videos(spark, sf)), ingest.VIDEO_ITEMS)))
+    return rows.select("video_id", "title", "channel_id", "views")
+
+
+def _rules(spark: SparkSession, rules: list[tuple], default: tuple, names: list[str]) -> DataFrame:
+    rows = [(i, list(words), *rest) for i, (*rest, words) in enumerate(rules)] + [(len(rules), None, *default)]
+    return spark.createDataFrame(rows, "ord int, keywords array<string>, " + ", ".join(f"{n} string" for n in names))
+
+
+def _keyword_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.keyword_videos(spark, sf).select("doc_id", _lower_title().alias("text"))
+
+
+def content_world_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Content worlds by rules that are rows."""
+    return rulematch.first_rule(_keyword_texts(spark, sf), _rules(spark, r.CONTENT_WORLDS, r.DEFAULT_WORLD, ["world"]), "doc_id")
+
+
+def audience_pull_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rulematch.first_rule(_keyword_texts(spark, sf), _rules(spark, r.AUDIENCE_PULLS, r.DEFAULT_PULL, ["pull", "why"]), "doc_id")
+
+
+def cohort_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of the cohorts where some benchmark intros have failed (they stay, marked) and some were skipped (they go)."""
+    return _some_failed(spark, sf)[1].select("subject_id", "grp", "pos", "video_id", "status")
+
+
+def _some_failed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    videos = cut(fixtures.videos(spark, sf))
+    states = _numbered(spark, sf, videos).select("video_id", fixtures.benchmark_states(F.col("video_no")).alias("acquisition_status"))
+    summaries = _benchmarks(spark, sf, videos).drop("acquisition_status").join(states, "video_id")
+    subjects, parts = _cohorts_of(videos, stored=True)
+    return subjects, cut(report.cohort_features(parts["performers"], summaries))
+
+
+def dominant_acquired(spark: SparkSession, sf: str) -> DataFrame:
+    """Dominant values where failed and skipped benchmarks do not count."""
+    subjects, members = _some_failed(spark, sf)
+    return report.contrast_parts(_users(spark, sf), members, subjects.select("subject_id"))["dominant"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -394,5 +499,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         feature_summary, feature_long, cohort_features, dominant_values, feature_contrast, recommendations, confidence, verdict, content_world,
         emotional_style, audience_pull, repeatable_patterns, emotional_center, top_titles, content_dna, growth_snapshot, vision_stub,
         evidence_best, evidence_failures, evidence_missing, report_status, observation_status, semantic_comparison, job_states, display_formats, feature_shapes,
+        semantic_fields, job_transitions, evidence_reuse, landed_quality, landed_rejected, landed_videos, content_world_rules, audience_pull_rules,
+        cohort_states, dominant_acquired,
     ]
     return {f.__name__: f for f in plain} | {"narrative": narrative_texts, "report": full_report}

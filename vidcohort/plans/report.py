@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vidcohort.operators import cohort, contrast, features
+from vidcohort.operators import cohort, contrast, features, semantic
 from vidcohort.plans import narrative
-from vidcohort.sources import ingest
-from vidcohort.sources.stored import cut
+from vidcohort.sources import ingest, published
+from vidcohort.sources.stored import cut, drop_cut
 
 ANALYSED = 3
 # The warnings that are told.
@@ -80,13 +83,57 @@ def report(state: DataFrame, parts: dict[str, DataFrame], sections: dict[str, Da
     return out.select("subject_id", "status", "warnings", *sections)
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """The report as Parquet by status, and a table of each section beside it, of the subjects that have it."""
+def write_report(rows: DataFrame, path: str, run: str | None = None) -> str:
+    """The report by status, and a table of each section beside it, of the subjects that have it; the run that it is published as.
+
+    All tables of a run are written under its own folder; then one manifest is put in place. A run that dies before that
+    is never seen, and readers keep the tables of the last run that was published, all of them of that run.
+    """
+    spark, run = rows.sparkSession, run or uuid.uuid4().hex
+    number, before = published.latest(spark, path)
+    if before.get("run") == run:
+        return run
     rows = cut(rows)
-    rows.write.mode("overwrite").partitionBy("status").parquet(f"{path}/report")
-    for field in rows.schema.fields:
-        if field.dataType.typeName() == "struct":
-            rows.where(F.col(field.name).isNotNull()).select("subject_id", f"{field.name}.*").write.mode("overwrite").parquet(f"{path}/{field.name}")
+    folder = f"run-{run}-{uuid.uuid4().hex[:8]}"
+    rows.write.partitionBy("status").parquet(f"{path}/{folder}/report")
+    sections = [f.name for f in rows.schema.fields if f.dataType.typeName() == "struct"]
+    for name in sections:
+        rows.where(F.col(name).isNotNull()).select("subject_id", f"{name}.*").write.parquet(f"{path}/{folder}/{name}")
+    drop_cut(rows)
+    published.publish(spark, path, number, {"run": run, "sections": ["report", *sections], "folders": [{"folder": folder}]})
+    return run
+
+
+def read_report(spark: SparkSession, path: str, section: str = "report") -> DataFrame:
+    """A table of the last run that was published."""
+    _, content = published.latest(spark, path)
+    if section not in content.get("sections", []):
+        raise ValueError(f"{path} has no published {section}")
+    return spark.read.parquet(f"{path}/{content['folders'][0]['folder']}/{section}")
+
+
+def values(rows: DataFrame, key: str = "subject_id") -> DataFrame:
+    """(key, section, path, value): every value of the nested columns of ``rows`` as one row, whatever they hold.
+
+    Structs are entered by name, arrays by place (from 0), maps by key; values are texts. A null has no row, an empty array none either.
+    """
+    def entries(c: Column, kind: T.DataType, path: Column) -> Column:
+        """Array of (path, value)."""
+        if isinstance(kind, T.StructType):
+            parts = [entries(c[f.name], f.dataType, F.concat(path, F.lit("." + f.name))) for f in kind.fields]
+            return F.flatten(F.array(*parts)) if parts else F.array().cast("array<struct<path:string,value:string>>")
+        if isinstance(kind, T.ArrayType):
+            inner = F.transform(c, lambda x, i: entries(x, kind.elementType, F.concat(path, F.lit("."), i.cast("string"))))
+            return F.flatten(F.coalesce(inner, F.array().cast("array<array<struct<path:string,value:string>>>")))
+        if isinstance(kind, T.MapType):
+            listed = F.transform(F.map_entries(c), lambda e: entries(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))))
+            return F.flatten(F.coalesce(listed, F.array().cast("array<array<struct<path:string,value:string>>>")))
+        return F.array(F.struct(path.alias("path"), c.cast("string").alias("value")))
+
+    sections = [f for f in rows.schema.fields if f.name != key]
+    every = F.array(*[F.struct(F.lit(f.name).alias("section"), entries(F.col(f.name), f.dataType, F.lit("")).alias("v")) for f in sections])
+    found = rows.select(key, F.explode(every).alias("s")).select(key, "s.section", F.explode("s.v").alias("v"))
+    return found.where("v.value is not null").select(key, "section", F.ltrim("v.path", F.lit(".")).alias("path"), "v.value")
 
 
 def texts(videos: DataFrame, channels: DataFrame, titles: DataFrame) -> DataFrame:
@@ -96,16 +143,6 @@ def texts(videos: DataFrame, channels: DataFrame, titles: DataFrame) -> DataFram
     return rows.withColumn("channel_title", F.coalesce("_title", "channel_title")).drop("_title")
 
 
-def semantic_comparison(observations: DataFrame) -> DataFrame:
-    """(subject_id, status, semantic_differences, user_position, warnings): observations are not compared yet."""
-    none = F.array().cast("array<string>")
-    # fixed values
-    return observations.select(
-        "subject_id", F.lit("not_ready").alias("status"), none.alias("semantic_differences"), none.alias("user_position"),
-        F.array(F.lit("Semantic comparison is not connected yet.")).alias("warnings"),
-    )
-
-
 def member_lists(members: DataFrame) -> DataFrame:
     """(subject_id, top_performers, lower_performers): the members of both groups in order, with their features."""
     one = F.struct("pos", "video_id", "status", "frames_analyzed", "scene_change_count", *features.CLASSES)
@@ -113,14 +150,25 @@ def member_lists(members: DataFrame) -> DataFrame:
     return members.groupBy("subject_id").agg(*lists)
 
 
+def compared(subjects: DataFrame, members: DataFrame, observations: DataFrame | None) -> DataFrame:
+    """Positions of the subjects' observations against those of their members that were acquired; none without observations."""
+    own = subjects.select("subject_id", F.lit("user").alias("grp"), F.lit(0).alias("pos"), F.col("subject_id").alias("video_id"))
+    if observations is None:
+        nothing = [F.lit(None).cast("string").alias(n) for n in semantic.FIELDS]
+        observations = own.select("video_id", F.lit("failed").alias("status"), *nothing).where("false")
+    fine = members.where(F.coalesce("status", F.lit("")) != "failed").select("subject_id", "grp", "pos", "video_id")
+    return semantic.field_positions(own.unionByName(fine), observations)
+
+
 def run(
     subjects: DataFrame, videos: DataFrame, channels: DataFrame, recent: DataFrame, context: DataFrame, users: DataFrame, benchmarks: DataFrame,
-    evidence: DataFrame, answers: DataFrame, frames: DataFrame, mode: str = "title",
+    evidence: DataFrame, answers: DataFrame, frames: DataFrame, mode: str = "title", observations: DataFrame | None = None,
 ) -> DataFrame:
     """All sections of all subjects in one job.
 
     ``users`` and ``evidence`` (acquisition_status, n_frames, warnings) are of the subjects' own intros, ``answers``
-    (subject_id, text) what a model said of them and ``frames`` (subject_id, frame_no, origin) what it saw.
+    (subject_id, text) what a model said of them and ``frames`` (subject_id, frame_no, origin) what it saw. ``observations``
+    (video_id, status, fields) of all videos are compared, if there are any.
     """
     groups = cohort.cohorts(subjects, videos, mode, stored=True)
     members = cut(cohort_features(groups["performers"], benchmarks))
@@ -150,6 +198,6 @@ def run(
         "narrative": keyed(narrative.narrative(own)),
         "feature_report": users.select("subject_id", "frames_analyzed", "scene_changes", "scene_change_count", *features.CLASSES),
         "intro_observation": ingest.observations(evidence.select("subject_id", "n_frames"), answers, "subject_id"),
-        "semantic_comparison": semantic_comparison(subjects),
+        "semantic_comparison": semantic.comparison(subjects, compared(subjects, members, observations)),
     }
     return report(status(subjects, context, evidence, levels), parts, sections)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,3 +116,41 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, text): the first answer of each conversation."""
     first = F.min_by("text", "turn").alias("text")
     return observations_raw(spark, sf_dir).groupBy("conv_id").agg(first)
+
+
+def field_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, text): the first answer of each conversation as a model's JSON, its words dealt to the fields in turn; one in seven is broken."""
+    from vidcohort.operators.semantic import FIELDS
+
+    first = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("said"))
+    every = lambda i: F.filter(F.split("said", " "), lambda w, p: p % len(FIELDS) == i)
+    dealt = [F.array_join(every(i), " ").alias(n) for i, n in enumerate(FIELDS)]
+    body = F.to_json(F.struct(*dealt, F.lit("high").alias("confidence")))
+    shaped = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("{"), body)).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    return first.select("conv_id", shaped.alias("text"))
+
+
+def video_observations(spark: SparkSession, sf_dir: str, videos: DataFrame) -> DataFrame:
+    """(video_id, status, fields) of all videos; conversations stand in for what a model said of them."""
+    from vidcohort.sources import ingest
+
+    n = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
+    said = ingest.parse_observations(field_answers(spark, sf_dir), ["conv_id"])
+    return videos.select("video_id", (F.col("k") % n.scalar()).alias("conv_id")).join(said, "conv_id").drop("conv_id")
+
+
+def responses(videos: DataFrame) -> DataFrame:
+    """(origin, value): responses as they land, of up to two videos each; some are cut off, of another shape, or have items without an id."""
+    k = F.col("k")
+    snippet = F.struct("title", F.col("channel_id").alias("channelId"))
+    one = F.struct(F.when(k % 17 != 0, F.col("video_id")).alias("id"), F.when(k % 19 != 0, snippet).alias("snippet"), F.struct(F.col("views").cast("string").alias("viewCount")).alias("statistics"))
+    pairs = videos.groupBy(F.expr("k div 2").alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", one.alias("item")))), lambda x: x["item"]).alias("items"))
+    body = F.to_json(F.struct("items"))
+    r = F.col("r")
+    value = F.when(r % 13 == 0, F.substring(body, 1, 25)).when(r % 11 == 0, F.lit('{"items":[]}')).when(r % 7 == 0, F.lit('{"error":"quota"}')).otherwise(body)
+    return pairs.select(F.concat(F.lit("f"), (r % 50).cast("string")).alias("origin"), value.alias("value"))
+
+
+def benchmark_states(video_no: Column) -> Column:
+    """What became of a benchmark's intro: one in ten failed, one in ten was skipped."""
+    return F.when(video_no % 10 == 9, "failed").when(video_no % 10 == 8, "skipped").otherwise("success")

@@ -51,6 +51,46 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType, streaming:
     return reader.schema(schema).option("multiLine", True).json(path)
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, value) of landed files, each as it is, for ``checked``; Spark reads no file without bytes."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("origin"), F.col("content").cast("string").alias("value"))
+
+
+#: Why something is put aside, in the order in which it is looked at.
+REASONS = ["not_json", "no_items", "no_id", "no_snippet"]
+
+
+def checked(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """(origin, item_pos, reason, item, value): every item of the responses (origin, value), and every response without items.
+
+    ``reason`` is null for an item that can be used. A response that is no JSON, or has another shape, is one row with its
+    text and no item; so is one without items. Nothing is dropped.
+    """
+    told = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json("value", told, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = raw.select("origin", "value", parsed.alias("r"))
+    whole = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), REASONS[0]).when(F.size(F.coalesce("r.items", F.array())) == 0, REASONS[1])
+    rows = rows.select("origin", "value", whole.alias("whole"), F.posexplode_outer(F.when(whole.isNull(), F.col("r.items"))).alias("item_pos", "item"))
+    item = F.when(F.trim(F.coalesce("item.id", F.lit(""))) == "", REASONS[2]).when(F.col("item.snippet").isNull(), REASONS[3])
+    reason = F.coalesce("whole", item)
+    return rows.select("origin", "item_pos", reason.alias("reason"), "item", F.when(reason.isNotNull(), F.col("value")).alias("value"))
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """The items that can be used, for ``videos`` and ``channels``."""
+    return rows.where("reason is null").select(F.array("item").alias("items"))
+
+
+def put_aside(rows: DataFrame) -> DataFrame:
+    """(origin, item_pos, reason, value) of the rest, with the text of the response."""
+    return rows.where("reason is not null").select("origin", "item_pos", "reason", "value")
+
+
+def quality(rows: DataFrame) -> DataFrame:
+    """(origin, usable, not_json, no_items, no_id, no_snippet): counts by origin."""
+    return rows.groupBy("origin").agg(F.count_if(F.col("reason").isNull()).alias("usable"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+
+
 def videos(raw: DataFrame) -> DataFrame:
     i = _items(raw, VIDEO_ITEMS)
     s, n = F.col("snippet"), F.col("statistics")

@@ -239,7 +239,7 @@ def squeezed(c: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from vidcohort.plans import oracle_more
+    from vidcohort.plans import oracle_more, oracle_report
 
     search = (VIDEOS, SUBJECTS, TITLE_QUERIES, SEARCH)
     hyp_search = (VIDEOS, SUBJECTS, HYPOTHESES, SEARCH)
@@ -277,7 +277,7 @@ def oracle_sql() -> dict[str, str]:
       ELSE 'No clear actionable difference was found from the current benchmark evidence.' END"""
     columns = "subject_id, grp, CAST(rank AS INTEGER) AS rank, video_id, views, overlap"
     feature_columns = ", ".join(["frames_analyzed", "scene_changes", "scene_change_count", *features.CLASSES])
-    return {
+    found = {
         "safe_int": "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(regexp_extract(props, '[0-9]+') AS BIGINT) ELSE 0 END AS n FROM events",
         "clean_text": """SELECT page_id, md5(regexp_replace(replace(replace(replace(regexp_replace(html, '<.*?>', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '^\\s+|\\s+$', '', 'g')) AS clean_md5 FROM pages""",
         "video_id_loose": sql(URLS, f"SELECT page_id, {LOOSE} AS video_id FROM urls"),
@@ -361,3 +361,4 @@ def oracle_sql() -> dict[str, str]:
           format('{:,}', views) AS shown_views FROM videos"""),
         "feature_shapes": sql(VIDEOS, SUBJECTS, FRAMES, intro("intro15", 15), USERS, summary("users", "subjects", "intro15", "subject_id"), "SELECT * FROM users"),
     } | oracle_more.oracle_sql(feats)
+    return found | {"report_values": oracle_report.sql(found, judged, tips, final)}

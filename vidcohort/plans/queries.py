@@ -96,6 +96,11 @@ def full_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def report_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of every subject's report, in all sections."""
+    return report.values(full_report(spark, sf))
+
+
 def report_status(spark: SparkSession, sf: str) -> DataFrame:
     """Status and warnings of every subject's report."""
     videos = cut(fixtures.videos(spark, sf))
@@ -500,6 +505,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         emotional_style, audience_pull, repeatable_patterns, emotional_center, top_titles, content_dna, growth_snapshot, vision_stub,
         evidence_best, evidence_failures, evidence_missing, report_status, observation_status, semantic_comparison, job_states, display_formats, feature_shapes,
         semantic_fields, job_transitions, evidence_reuse, landed_quality, landed_rejected, landed_videos, content_world_rules, audience_pull_rules,
-        cohort_states, dominant_acquired,
+        cohort_states, dominant_acquired, report_values,
     ]
     return {f.__name__: f for f in plain} | {"narrative": narrative_texts, "report": full_report}

@@ -72,6 +72,21 @@ SOME_FAILED = """members AS (
   FROM performers p JOIN bench b USING (video_id) JOIN (SELECT video_id, k % n AS no FROM videos, n_users) s USING (video_id) WHERE p.rank <= 3 AND s.no % 10 <> 8)"""
 
 
+#: Bilinear samples of 8 x 8 gray levels on 90 rows of 160 cells.
+GRID = """WITH px AS (SELECT CAST(vec_id // 10 AS VARCHAR) AS video_id, CAST(vec_id % 10 AS INTEGER) AS frame_no,
+    list_transform(embedding, lambda x: floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, 128 + 400 * CAST(x AS DOUBLE))))) AS shade,
+    list_transform(embedding, lambda x: floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, 128 + 400 * CAST(x AS DOUBLE))) / 2)) AS half FROM embeddings),
+levels AS (SELECT video_id, frame_no, list_transform(range(1, 65), lambda i: round_even(0.114::DOUBLE * half[i] + 0.587::DOUBLE * shade[i] + 0.299::DOUBLE * shade[i], 0)) AS g FROM px),
+ys AS (SELECT i, y, least(CAST(floor(y) AS BIGINT), 6) AS y0 FROM (SELECT i, greatest(0.0::DOUBLE, least(7.0::DOUBLE, (i + 0.5::DOUBLE) * 8 / 90 - 0.5::DOUBLE)) AS y FROM range(90) r(i))),
+xs AS (SELECT j, x, least(CAST(floor(x) AS BIGINT), 6) AS x0 FROM (SELECT j, greatest(0.0::DOUBLE, least(7.0::DOUBLE, (j + 0.5::DOUBLE) * 8 / 160 - 0.5::DOUBLE)) AS x FROM range(160) r(j))),
+cells AS (
+  SELECT video_id, frame_no, i * 160 + j AS place,
+    CAST(CAST((g[y0 * 8 + x0 + 1] * (1 - (y - y0)) + g[y0 * 8 + 8 + x0 + 1] * (y - y0)) * (1 - (x - x0))
+      + (g[y0 * 8 + x0 + 2] * (1 - (y - y0)) + g[y0 * 8 + 8 + x0 + 2] * (y - y0)) * (x - x0) AS FLOAT) AS DOUBLE) AS v
+  FROM levels CROSS JOIN ys CROSS JOIN xs)
+SELECT video_id, frame_no, CAST(count(*) AS INTEGER) AS grid_px, CAST(sum(CAST(floor(v * 1000) AS BIGINT) * (place % 97 + 1)) AS BIGINT) AS weighted, max(v) AS highest FROM cells GROUP BY video_id, frame_no"""
+
+
 def oracle_sql(feats: tuple[str, ...]) -> dict[str, str]:
     """``feats`` are the tables up to ``members``, which is the last one."""
     windows, some_failed = (o.VIDEOS, o.SUBJECTS, o.USERS, WINDOWS), (*feats[:-1], SOME_FAILED)
@@ -83,6 +98,7 @@ def oracle_sql(feats: tuple[str, ...]) -> dict[str, str]:
         "semantic_fields": o.sql(*compared, "SELECT subject_id, field, top_medoid, lower_medoid, round(top_distance, 9) AS top_distance, round(lower_distance, 9) AS lower_distance, position FROM positions"),
         "semantic_comparison": o.sql(*compared, COMPARISON, "SELECT * FROM comparison"),
         "job_transitions": TRANSITIONS,
+        "frame_grid": GRID,
         "content_world_rules": o.sql(o.KEYWORD_VIDEOS, f"SELECT doc_id, {o.first_rule('lower(title)', r.CONTENT_WORLDS, r.DEFAULT_WORLD, 0)} AS world FROM kv"),
         "audience_pull_rules": o.sql(o.KEYWORD_VIDEOS, f"SELECT doc_id, {pulls} FROM kv"),
         "landed_quality": o.sql(*landed, f"SELECT origin, count(*) FILTER (WHERE reason IS NULL) AS usable, {counts} FROM judged_items GROUP BY origin"),

@@ -297,17 +297,28 @@ def frame_diff(spark: SparkSession, sf: str) -> DataFrame:
     return features.frame_diff(fixtures.frame_grids(spark, sf)).withColumn("diff", F.round("diff", 6))
 
 
-def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Measurements of 8 x 8 pictures whose three channels are shades of the gray grids."""
+def _pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """8 x 8 pictures whose three channels are shades of the gray grids."""
     grids = fixtures.frame_grids(spark, sf)
     shade = F.transform("gray_grid", lambda x: F.lpad(F.hex(F.floor(x).cast("bigint")), 2, "0"))
     half = F.transform("gray_grid", lambda x: F.lpad(F.hex(F.floor(x / 2).cast("bigint")), 2, "0"))
     pixels = F.zip_with(shade, half, lambda a, b: F.concat(b, a, a))
-    images = grids.select(
+    return grids.select(
         F.col("video_no").cast("string").alias("video_id"), F.col("frame_no").cast("int").alias("frame_no"), F.lit(8).alias("height"), F.lit(8).alias("width"),
         F.lit(3).alias("nChannels"), F.unhex(F.array_join(pixels, "")).alias("data"),
     )
-    return frames.frame_metrics(images).select("video_id", "frame_no", F.round("luma", 6).alias("luma"), "mean_hue", "valid_px", F.size("gray_grid").alias("grid_px"))
+
+
+def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames.frame_metrics(_pictures(spark, sf))
+    return rows.select("video_id", "frame_no", F.round("luma", 6).alias("luma"), "mean_hue", "valid_px", F.size("gray_grid").alias("grid_px"))
+
+
+def frame_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampled grid of every picture: its cells, each with a weight of its place."""
+    cells = F.transform("gray_grid", lambda v, i: F.floor(v.cast("double") * 1000) * (i % 97 + 1))
+    total = F.aggregate(cells, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return frames.frame_metrics(_pictures(spark, sf)).select("video_id", "frame_no", F.size("gray_grid").alias("grid_px"), total.alias("weighted"), F.array_max("gray_grid").cast("double").alias("highest"))
 
 
 def majority_class(spark: SparkSession, sf: str) -> DataFrame:
@@ -505,6 +516,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         emotional_style, audience_pull, repeatable_patterns, emotional_center, top_titles, content_dna, growth_snapshot, vision_stub,
         evidence_best, evidence_failures, evidence_missing, report_status, observation_status, semantic_comparison, job_states, display_formats, feature_shapes,
         semantic_fields, job_transitions, evidence_reuse, landed_quality, landed_rejected, landed_videos, content_world_rules, audience_pull_rules,
-        cohort_states, dominant_acquired, report_values,
+        cohort_states, dominant_acquired, report_values, frame_grid,
     ]
     return {f.__name__: f for f in plain} | {"narrative": narrative_texts, "report": full_report}

@@ -343,8 +343,6 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows, crowded = [], {}
             for doc, text, open_ in zip(b["doc_id"], b["text"], b["open"]):
-                if open_ is None:
-                    continue
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for x in open_:
                     start, stop, rel = x["start"], x["stop"], x["rel"]
@@ -373,7 +371,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         give_back()
         return pd.concat([out, pdf.loc[~sent, ["doc_id", "start", "stop"]].astype("int64")])
 
-    texts = docs.join(open_, "doc_id", "left").mapInPandas(tidy(fetch), "part long, doc_id long, start long, content binary, stop long")
+    texts = docs.join(open_, "doc_id").mapInPandas(tidy(fetch), "part long, doc_id long, start long, content binary, stop long")
     compared = texts.groupBy("part").applyInPandas(compare, "doc_id long, start long, stop long")
     both = found.where("suffix is null").select("doc_id", "start", "stop").unionByName(compared)
     return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

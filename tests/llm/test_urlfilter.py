@@ -116,3 +116,13 @@ def test_query_rules_in_sql(spark):
     got = {r.page_id: (r.host, r.path, r.rule) for r in uf.op6_urlfilter(spark, sf).collect()}
     rows = duckdb.connect().execute(f"select page_id, url from '{sf}/pages.parquet'").fetchall()
     assert got == {i: (*plain(u), rule(*plain(u))[0]) for i, u in rows}
+
+
+def test_many_tokens_that_always_stand_together(spark):
+    """Sixty equal bad URLs of forty tokens: one item, not 2^40 sets; a page with any of the tokens is as bad, if no rule that is as sure allows it."""
+    bad = "https://evil.biz/" + "/".join(f"part{chr(97 + i)}" for i in range(20)) + "?" + "&".join(f"key{chr(97 + i)}=1" for i in range(17))
+    urls = [bad] * 60 + [f"https://site{'abc'[i % 3]}.org/{'xyz'[i % 3]}/doc" for i in range(200)] + ["https://other.net/partc", "https://siteb.org/y/doc?keyd=2", "https://siteb.org/y/doc"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(260)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in uf.judge(pages, labels).collect()}
+    assert [got[i] for i in (0, 59, 60, 259, 260, 261, 262)] == ["block", "block", "allow", "allow", "block", "allow", "allow"]

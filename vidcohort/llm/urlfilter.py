@@ -6,6 +6,10 @@ found however rare it is among all pages. A frequent set, counted in all labelle
 ``MIN_ROWS`` pages have it, the verdict's share among them (confidence) is ``MIN_CONFIDENCE`` or more and ``MIN_LIFT``
 times the verdict's share of all labelled pages or more, unless a smaller set is at least as sure.
 
+Tokens that stand in exactly the same labelled pages are one item (``folds``): sets that differ by them alone have the same
+counts, and of the 2^n sets of n such tokens only those of one token each could be rules. A page has the item if it has any of them,
+which is what these rules would find.
+
 Rules are matched through an inverted index from token to rule: a rule fires if as many of its tokens are found as it
 has. The surest rule that fires decides; ties go to allow; without any rule the verdict is allow. Given host and path
 rules come first; the longest that fits wins.
@@ -68,6 +72,32 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*parts)))
 
 
+def folds(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, item) of the tokens of at least so many rows of ``labelled`` (items) that stand in the same rows as a smaller token, the item.
+
+    Rows are compared by their number and two 64-bit sums of hashes, so that nothing is gathered.
+    """
+    rows = cut(labelled.select(F.monotonically_increasing_id().alias("row"), "items"))
+    each = rows.select("row", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64("row", F.lit("fold"))).alias("two")
+    )
+    same = each.where(F.col("n") >= least).groupBy("n", "one", "two").agg(F.min("token").alias("item"), F.collect_set("token").alias("tokens"))
+    return same.where("size(tokens) > 1").select(F.explode("tokens").alias("token"), "item").where("token <> item")
+
+
+def folded(items: Column, known: dict[str, str]) -> Column:
+    """``items`` with the tokens of ``known`` replaced."""
+    if not known:
+        return items
+    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    return F.array_distinct(F.transform(items, lambda x: F.coalesce(F.try_element_at(table, x), x)))
+
+
+def least_rows(n: int, min_support: float, min_confidence: float, min_rows: int) -> float:
+    """Rows of its own verdict that a rule needs, of ``n``."""
+    return max(min_support * n, min_confidence * min_rows)
+
+
 def frequent(baskets: DataFrame, support: float) -> DataFrame:
     """(antecedent, n) sorted token sets of at least that share of the rows of ``baskets`` (items), and of how many.
 
@@ -99,7 +129,7 @@ def mine(
     labelled = cut(labelled)
     totals = {"allow": 0, "block": 0} | {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
     sets = {v: labelled.where(F.col("verdict") == v) for v in totals}
-    least = {v: max(min_support * n, min_confidence * min_rows) for v, n in totals.items()}
+    least = {v: least_rows(n, min_support, min_confidence, min_rows) for v, n in totals.items()}
     mined = {}
     for v, n in totals.items():
         # mined to half the support: a set that is frequent with one verdict then mostly has its count with the other
@@ -154,7 +184,11 @@ def judge(
     labelled = split.join(marks, split["page_id"] == marks["doc_id"]).where("size(items) > 0").select(
         "items", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("verdict")
     )
-    rules = mine(labelled, min_support, min_confidence, min_lift, min_rows)
+    labelled = cut(labelled)
+    fewest = min([least_rows(r["count"], min_support, min_confidence, min_rows) for r in labelled.groupBy("verdict").count().collect()], default=1)
+    known = {r["token"]: r["item"] for r in folds(labelled, fewest / 2).collect()}  # of frequent tokens: at most (tokens a URL) / support
+    split = split.withColumn("items", folded(F.col("items"), known))
+    rules = mine(labelled.withColumn("items", folded(F.col("items"), known)), min_support, min_confidence, min_lift, min_rows)
     used = rules.select(F.explode("antecedent").alias("token")).distinct().agg(F.sort_array(F.collect_set("token"))).first()[0]
     if used:  # tokens of kept rules: at most (tokens a URL) / min_support
         known = F.array(*map(F.lit, used))

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vidcohort.functions import rules as r
+from vidcohort.functions import text as t
 from vidcohort.operators.features import FEATURES, UNKNOWN
 
 DESCRIPTIVE = ["dominant_lighting", "dominant_color_feel"]
 SIGNALS = ["aligned_with_top", "risk_signal", "missing_winning_feature"]
-CONFIDENCE = {
-    "moderate": "Enough benchmark intros and multiple actionable comparisons were available.",
-    "limited": "Some benchmark evidence was available, but the comparison set is still small.",
-    "low": "Too few benchmark intros or contrasting actionable feature values were available.",
-}
 
 
 def dominant_values(rows: DataFrame) -> DataFrame:
@@ -33,11 +30,8 @@ def dominant_values(rows: DataFrame) -> DataFrame:
 
 
 def evidence(group: str, value: Column, count: Column, total: Column, dominant: Column) -> Column:
-    return (
-        F.when(total == 0, f"{group}: no classified benchmark intros available.")
-        .when(~dominant, F.concat(F.lit(f"{group}: no clear dominant value across "), total.cast("string"), F.lit(" classified intro(s).")))
-        .otherwise(F.concat(F.lit(f"{group}: '"), value, F.lit("' appeared in "), count.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" classified intro(s).")))
-    )
+    say = lambda k: t.fill(r.EVIDENCE[k], group=F.lit(group), value=value, count=count.cast("string"), total=total.cast("string"))
+    return F.when(total == 0, say("none")).when(~dominant, say("unclear")).otherwise(say("clear"))
 
 
 def status(descriptive: Column, user: Column, top: Column, top_dominant: Column, lower: Column, lower_dominant: Column) -> Column:
@@ -53,22 +47,21 @@ def status(descriptive: Column, user: Column, top: Column, top_dominant: Column,
     )
 
 
+def _named() -> dict[str, Column]:
+    """What the texts of a row of the contrast are filled with."""
+    return {"label": F.col("label"), "user": F.col("user_value"), "top": F.col("top_dominant_value"), "lower": F.col("lower_dominant_value")}
+
+
 def explanation() -> Column:
     c = F.col
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    label, user, top, lower = c("label"), c("user_value"), c("top_dominant_value"), c("lower_dominant_value")
-    return (
-        F.when(user == UNKNOWN, say(label, ": the user value is unknown, so no position is assigned."))
-        .when(c("status") == "observed_alignment", say(label, ": the observed user value '", user, "' matches the dominant top benchmark value. This observation does not affect the verdict."))
-        .when(c("status") == "observed_difference", say(label, ": the observed user value '", user, "' differs from the dominant top benchmark value '", top, "'. This observation does not affect signals, the verdict, or recommendations."))
-        .when(~c("top_is_dominant"), say(label, ": top performers did not show a clear dominant value."))
-        .when(~c("descriptive") & ~c("lower_is_dominant"), say(label, ": lower performers did not show a clear dominant value, so this feature cannot position the user."))
-        .when(c("status") == "non_discriminative", say(label, ": '", top, "' dominates both benchmark groups, so this feature does not distinguish them."))
-        .when(c("status") == "aligned_with_top", say(label, ": user value '", user, "' matches the dominant top benchmark value and differs from the lower benchmark value '", lower, "'."))
-        .when(c("status") == "risk_signal", say(label, ": user value '", user, "' matches the dominant lower benchmark value and differs from the top benchmark value '", top, "'."))
-        .when(c("status") == "missing_winning_feature", say(label, ": user value '", user, "' differs from the dominant top benchmark value '", top, "'."))
-        .otherwise(say(label, ": evidence is insufficient for a reliable position."))
-    )
+    say = lambda k: t.fill(r.EXPLANATION[k], **_named())
+    told = lambda out, k: out.when(c("status") == k, say(k))
+    out = F.when(c("user_value") == UNKNOWN, say("unknown"))
+    out = told(told(out, "observed_alignment"), "observed_difference")
+    out = out.when(~c("top_is_dominant"), say("no_top")).when(~c("descriptive") & ~c("lower_is_dominant"), say("no_lower"))
+    for k in ("non_discriminative", *SIGNALS):
+        out = told(out, k)
+    return out.otherwise(say("other"))
 
 
 def feature_contrast(users: DataFrame, dominants: DataFrame) -> DataFrame:
@@ -106,13 +99,7 @@ def recommended() -> Column:
 
 def suggestion() -> list[Column]:
     """The columns of a suggestion, from a row of the contrast."""
-    say = lambda *parts: F.concat(*[F.col(p[1:]) if p[0] == "$" else F.lit(p) for p in parts])
-    return [
-        F.col("feature_ord"), say("Experiment with ", "$label").alias("title"),
-        say("Top benchmark intros most often showed '", "$top_dominant_value", "', while lower benchmark intros most often showed '", "$lower_dominant_value", "'. Your intro showed '", "$user_value", "'.").alias("evidence"),
-        F.lit("This is an observed difference between benchmark groups. It does not establish cause, but it is worth testing.").alias("why_it_matters"),
-        say("Test an opening segment closer to the top benchmark pattern for ", "$label", ".").alias("suggested_test"), F.lit("limited").alias("confidence"),
-    ]
+    return [F.col("feature_ord"), *[t.fill(template, **_named()).alias(name) for name, template in r.SUGGESTION.items()]]
 
 
 def recommendations(contrast: DataFrame) -> DataFrame:
@@ -136,18 +123,14 @@ def confidence(subjects: DataFrame, members: DataFrame, contrast: DataFrame) ->
     rows = rows.fillna(0, ["top_count", "lower_count", "n_top", "n_lower", "usable", "aligned", "missing", "risks"])
     t, low, u = F.col("top_count"), F.col("lower_count"), F.col("usable")
     level = F.when((t >= 3) & (low >= 3) & (u >= 2), "moderate").when((t >= 2) & (low >= 2) & (u >= 1), "limited").otherwise("low")
-    reasons = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
+    reasons = F.create_map(*[F.lit(x) for pair in r.CONFIDENCE.items() for x in pair])
     return rows.withColumn("confidence", level).withColumn("confidence_reason", reasons[F.col("confidence")])
 
 
 def verdict(levels: DataFrame) -> DataFrame:
     """(subject_id, aligned, missing, risks, final_verdict) from the table of ``confidence``."""
-    s = lambda c: F.col(c).cast("string")
-    text = (
-        F.when(F.col("confidence") == "low", "The available benchmark evidence is too limited for a clear position.")
-        .when(F.col("risks") > 0, F.concat(F.lit("Your intro matches "), s("risks"), F.lit(" lower-benchmark pattern(s), misses "), s("missing"), F.lit(" top-benchmark pattern(s), and aligns with "), s("aligned"), F.lit(" top-benchmark pattern(s).")))
-        .when(F.col("missing") > 0, F.concat(F.lit("Your intro misses "), s("missing"), F.lit(" top-benchmark pattern(s) and aligns with "), s("aligned"), F.lit(" top-benchmark pattern(s).")))
-        .when(F.col("aligned") > 0, "Your intro aligns with the strongest actionable benchmark patterns the engine could reliably compare.")
-        .otherwise("No clear actionable difference was found from the current benchmark evidence.")
-    )
-    return levels.select("subject_id", "aligned", "missing", "risks", text.alias("final_verdict"))
+    say = lambda k: t.fill(r.VERDICT[k], **{c: F.col(c).cast("string") for c in ("risks", "missing", "aligned")})
+    text = F.when(F.col("confidence") == "low", say("low"))
+    for k in ("risks", "missing", "aligned"):
+        text = text.when(F.col(k) > 0, say(k))
+    return levels.select("subject_id", "aligned", "missing", "risks", text.otherwise(say("none")).alias("final_verdict"))

@@ -34,11 +34,11 @@ def frequent_words(heads: DataFrame, share: float = SHARE) -> DataFrame:
     return counts.where(F.col("df") > n.scalar() * share)
 
 
-def ordered(rows: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
-    """(key, words, n_rare): the words of ``rows`` (key, words) with the rare ones first, then by frequency."""
-    tokens = rows.select(key, F.explode("words").alias("token")).join(frequent, "token", "left")
+def ordered(rows: DataFrame, frequent: DataFrame, *keys: str) -> DataFrame:
+    """(keys, words, n_rare): the words of ``rows`` (keys, words) with the rare ones first, then by frequency."""
+    tokens = rows.select(*keys, F.explode("words").alias("token")).join(frequent, "token", "left")
     one = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")
-    return tokens.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["token"]).alias("words"), F.count_if(F.col("df").isNull()).cast("int").alias("n_rare"))
+    return tokens.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["token"]).alias("words"), F.count_if(F.col("df").isNull()).cast("int").alias("n_rare"))
 
 
 def long_title() -> Column:
@@ -71,8 +71,8 @@ def query_keys(asked: DataFrame) -> DataFrame:
 
 def counted(pairs: DataFrame) -> DataFrame:
     """Of the joined keys, those of the first common words of a query and a class, with the number of all of these."""
-    common = F.array_intersect("asked", "words")
-    rows = pairs.withColumn("common", common)
+    # made once a pair: a plain column would be put into each of the conditions below
+    rows = pairs.withColumn("common", F.explode(F.array(F.array_intersect("asked", "words"))))
     head, second = F.col("common")[0], F.try_element_at("common", F.lit(2))
     alone = F.col("long") | (F.array_position("asked", head) <= F.col("n_rare"))
     mine = (F.col("a") == head) & (F.col("b") == F.when(alone, F.lit("")).otherwise(second))
@@ -91,10 +91,10 @@ def search(asked: DataFrame, heads: DataFrame, most: int, share: float = SHARE)
     then more views, then the smaller class.
     """
     frequent = cut(frequent_words(heads, share))
-    numbered = cut(heads.withColumn("c", F.monotonically_increasing_id()))  # numbers that stay
-    classes = ordered(numbered.select("c", "words"), frequent, "c").join(numbered.drop("words"), "c")
-    keys = cut(class_keys(classes).repartition("a", "b"))
-    queries = cut(ordered(asked, frequent, "q"))
+    classes = cut(ordered(heads, frequent, "class", "mark", "most_seen"))
+    keys = class_keys(classes)
+    tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries = cut(ordered(asked, frequent, "q").repartition(tasks))  # few and small, but each meets many classes
     wanted = query_keys(queries)
 
     first = cut(places(counted(wanted.where("first = 0").join(keys, ["a", "b"])), most))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +18,6 @@ def first_rule(c: Column, rules: list[tuple], default: tuple, names: list[str])
     return out.otherwise(pack(default))
 
 
-def fill(template: str, **columns: Column) -> Column:
-    """The template with its {names} taken from columns."""
-    parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(*[columns[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
-
-
 def content_world(c: Column) -> Column:
     return first_rule(c, r.CONTENT_WORLDS, r.DEFAULT_WORLD, ["world"])["world"]
 
@@ -83,7 +75,7 @@ def content_dna(videos: DataFrame) -> DataFrame:
     }
     lines = F.transform(repeatable_patterns(at["patterns"]), lambda p: F.concat(F.lit("• "), F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 200))))
     pattern = F.concat(F.lit(r.PATTERN_HEAD), F.array_join(lines, "\n"), F.lit(r.PATTERN_TAIL))
-    out = [t.squeeze(fill(template, **known)).alias(name) for name, template in r.DNA.items()]
+    out = [t.squeeze(t.fill(template, **known)).alias(name) for name, template in r.DNA.items()]
     return videos.select("video_id", *out, pattern.alias("repeatable_pattern"))
 
 
@@ -107,7 +99,7 @@ def narrative(videos: DataFrame) -> DataFrame:
     known = {"center": F.col("center"), "desire": F.col("audience_desire"), "advantage": F.col("creator_advantage"), "direction": F.col("growth_direction")}
     known |= {f"{k}_lower": F.lower(c) for k, c in known.items()}
     known |= {k: F.lit(v.lower()) for k, v in r.VISION_STUB.items()}
-    out = [fill(template, **known).alias(name) for name, template in r.NARRATIVE.items()]
+    out = [t.fill(template, **known).alias(name) for name, template in r.NARRATIVE.items()]
     return rows.select("video_id", *rows.columns[1:], F.array(*map(F.lit, r.CURRENCY)).alias("emotional_currency"), *out)
 
 

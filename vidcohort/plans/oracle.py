@@ -269,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
       {say("Top benchmark intros most often showed '", '$top_dominant_value', "', while lower benchmark intros most often showed '", '$lower_dominant_value', "'. Your intro showed '", '$user_value', "'.")} AS evidence,
       {q('This is an observed difference between benchmark groups. It does not establish cause, but it is worth testing.')} AS why_it_matters,
       {say('Test an opening segment closer to the top benchmark pattern for ', '$label', '.')} AS suggested_test, 'limited' AS confidence FROM contrast WHERE status IN ('missing_winning_feature', 'risk_signal')"""
-    reason = "CASE confidence " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in contrast.CONFIDENCE.items()) + " END"
+    reason = "CASE confidence " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in r.CONFIDENCE.items()) + " END"
     final = f"""CASE WHEN confidence = 'low' THEN 'The available benchmark evidence is too limited for a clear position.'
       WHEN risks > 0 THEN 'Your intro matches ' || risks || ' lower-benchmark pattern(s), misses ' || missing || ' top-benchmark pattern(s), and aligns with ' || aligned || ' top-benchmark pattern(s).'
       WHEN missing > 0 THEN 'Your intro misses ' || missing || ' top-benchmark pattern(s) and aligns with ' || aligned || ' top-benchmark pattern(s).'

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vidcohort.functions import rules as r
-from vidcohort.operators import contrast, features, semantic
+from vidcohort.operators import features, semantic
 from vidcohort.plans import oracle as o
 from vidcohort.plans import oracle_more as more
 from vidcohort.plans import report
@@ -52,7 +52,7 @@ def sql(plain: dict[str, str], judged: tuple[str, ...], tips: str, final: str) -
         f"compared_ AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ord) - 1 AS i FROM positions WHERE {more.KNOWN})",
         f"differs_ AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ord) - 1 AS j FROM compared_ WHERE top_medoid <> lower_medoid)",
         f"ready_ AS (SELECT s.subject_id, CASE WHEN n > 0 THEN 'ready' ELSE 'not_ready' END AS status, CASE WHEN coalesce(n, 0) = 0 THEN {o.q(semantic.NOT_READY)} END AS warning FROM subjects s LEFT JOIN (SELECT subject_id, count(*) AS n FROM compared_ GROUP BY subject_id) USING (subject_id))",
-        "levels_ AS (SELECT subject_id, confidence, CASE confidence " + " ".join(f"WHEN {o.q(k)} THEN {o.q(v)}" for k, v in contrast.CONFIDENCE.items()) + f" END AS confidence_reason, {final} AS final_verdict FROM levels)",
+        "levels_ AS (SELECT subject_id, confidence, CASE confidence " + " ".join(f"WHEN {o.q(k)} THEN {o.q(v)}" for k, v in r.CONFIDENCE.items()) + f" END AS confidence_reason, {final} AS final_verdict FROM levels)",
         f"tips_ AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY feature_ord) - 1 AS i FROM ({tips}))",
     ]
     names = ["pos", "video_id", "frames_analyzed", "scene_change_count", *features.CLASSES]

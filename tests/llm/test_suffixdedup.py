@@ -64,6 +64,16 @@ def test_brute_force(spark, monkeypatch, seed, crowd):
     assert run(spark, docs) == brute([(d, t.encode()) for d, t in docs])
 
 
+@pytest.mark.parametrize("crowd", [5000, 1])
+def test_few_ranges_and_many_buckets(spark, monkeypatch, crowd):
+    """Boundaries are bounded: beyond them, ranges are dealt by what their suffixes begin with."""
+    for name, value in (("CROWD", crowd), ("BUCKET_BYTES", 400), ("RANGES", 3)):
+        monkeypatch.setattr(sd, name, value)
+    docs = corpus(5)
+    assert sum(len(t) for _, t in docs) > 10 * 400
+    assert run(spark, docs) == brute([(d, t.encode()) for d, t in docs])
+
+
 def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 700)
     text = "".join(random.Random(4).choices("abcd ", k=5000))

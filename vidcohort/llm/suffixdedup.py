@@ -53,6 +53,8 @@ CROWD, OFFSETS = 5_000, 3
 #: Bytes of text for each bucket of suffixes, and of segments for each group that is compared.
 BUCKET_BYTES, GROUP_BYTES = 8 << 20, 2 << 20
 SAMPLE_DOCS = 1_500
+#: Ranges of suffixes at most, so that their boundaries stay small whatever the corpus.
+RANGES = 1 << 16
 RECORD = (*((t, "<u8") for t in TOKENS), ("seg", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("wins", "u1"), ("rel", "u1"))
 
 
@@ -213,9 +215,9 @@ def unpack(blobs) -> dict[str, np.ndarray]:
     return {k: np.concatenate([*v, np.zeros(0, t)]) for (k, t), v in zip(RECORD, out.values())}
 
 
-def splitters(docs: DataFrame, buckets: int, total: int) -> np.ndarray:
-    """Boundaries between buckets from the leading tokens of about ``SAMPLE_DOCS`` of the documents, and more for many buckets."""
-    wanted = max(SAMPLE_DOCS, buckets)
+def splitters(docs: DataFrame, ranges: int, total: int) -> np.ndarray:
+    """Boundaries between ranges from the leading tokens of about ``SAMPLE_DOCS`` of the documents, and more for many ranges (``RANGES`` at most)."""
+    wanted = max(SAMPLE_DOCS, ranges)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches):
@@ -225,23 +227,27 @@ def splitters(docs: DataFrame, buckets: int, total: int) -> np.ndarray:
 
     leads = docs.where(draw < wanted / max(1, total)).mapInPandas(tidy(run), "lead long").toPandas()["lead"]
     leads = np.sort(leads.to_numpy(np.int64).view(np.uint64))
-    return leads[np.arange(1, buckets) * len(leads) // buckets] if len(leads) else leads
+    return leads[np.arange(1, ranges) * len(leads) // ranges] if len(leads) else leads
 
 
-def bucket_of(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each suffix, and whether its equals lie in several buckets."""
+def bucket_of(c: dict[str, np.ndarray], bounds: np.ndarray, subs: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each suffix, one of ``subs`` of its range, and whether its equals lie in several buckets."""
     lead = c[TOKENS[0]]
     low, high = np.searchsorted(bounds, lead, "left"), np.searchsorted(bounds, lead, "right")
     wide = high - low >= 2
-    deal = np.where(wide, c["seg"], dealing(c)) % (high - low + 1).astype(np.uint64)
-    return low + deal.astype(np.int64), wide
+    deal = np.where(wide, c["seg"], dealing(c))
+    at = low + (deal % (high - low + 1).astype(np.uint64)).astype(np.int64)
+    return at * subs + ((deal >> np.uint64(32)) % np.uint64(subs)).astype(np.int64), wide
 
 
 def sort_suffixes(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, suffix, crowd): removed spans (suffix null) and segments to compare in full."""
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
-    bounds = splitters(docs, buckets, total)  # fewer than ``buckets`` numbers
+    ranges = min(buckets, RANGES)
+    subs = -(-buckets // ranges)  # beyond so many ranges, each is dealt by what its suffixes begin with
+    buckets = ranges * subs
+    bounds = splitters(docs, ranges, total)  # fewer than ``RANGES`` numbers
 
     def send(batches):
         held, count = [], 0
@@ -251,7 +257,7 @@ def sort_suffixes(docs: DataFrame) -> DataFrame:
             gone = later(c)
             kept = np.flatnonzero(~gone)
             kept = kept[np.lexsort((c["at"][kept], c["doc"][kept]))]  # packs better
-            to = bucket_of({k: c[k][kept] for k in (*TOKENS, "seg")}, bounds)[0]
+            to = bucket_of({k: c[k][kept] for k in (*TOKENS, "seg")}, bounds, subs)[0]
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order], prepend=-1))
             rows = [(int(to[part[0]]), pack(c, kept[part]), None) for part in np.split(order, edges[1:]) if len(part)]
@@ -279,7 +285,7 @@ def sort_suffixes(docs: DataFrame) -> DataFrame:
         out = out.assign(suffix=pd.NA, rel=0, crowd=0)
         left = {k: v[~gone] for k, v in c.items()}
         if len(left["at"]):
-            wide = bucket_of(left, bounds)[1]
+            wide = bucket_of(left, bounds, subs)[1]
             run = runs(*(left[t] for t in TOKENS))
             size = np.bincount(run)[run]
             size = np.where(wide, CROWD + 1, size)

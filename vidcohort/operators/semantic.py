@@ -24,11 +24,15 @@ NOT_READY = "Semantic comparison is not connected yet."
 READY = ["subject_id", "status", "semantic_differences", "user_position", "warnings"]
 
 
-def field_words(observations: DataFrame, key: str = "video_id") -> DataFrame:
-    """(key, ord, field, text, word) of the observations that succeeded; a text without words is left out."""
+def field_texts(observations: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key, ord, field, text) of the observations that succeeded."""
     fields = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("field"), F.col(n).alias("text")) for i, n in enumerate(FIELDS)])
-    rows = observations.where("status = 'success'").select(key, F.explode(fields).alias("f")).select(key, "f.*")
-    return rows.select(key, "ord", "field", "text", F.explode(t.word_set(F.col("text"))).alias("word"))
+    return observations.where("status = 'success'").select(key, F.explode(fields).alias("f")).select(key, "f.*")
+
+
+def field_words(texts: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key, ord, word) of texts (key, ord, text); a text without words has no row."""
+    return texts.select(key, "ord", F.explode(t.word_set(F.col("text"))).alias("word"))
 
 
 def weights(words: DataFrame, key: str = "video_id") -> DataFrame:
@@ -44,11 +48,12 @@ def field_positions(members: DataFrame, observations: DataFrame) -> DataFrame:
     ``members`` has subject_id, grp (user, top or lower), pos and video_id. Only fields in which the subject has words; a medoid and its
     distance are null if nobody in the group has. Ties go to the first member.
     """
-    words = cut(field_words(observations))
-    rows = members.join(words, "video_id").join(weights(words), ["ord", "word"])
-    rows = cut(rows.select("subject_id", "grp", "pos", "ord", "field", "text", "word", "weight"))
     own = ["subject_id", "ord", "grp", "pos"]
-    texts = cut(rows.groupBy(*own).agg(F.sum("weight").alias("total"), F.first("text").alias("text"), F.first("field").alias("field")))
+    every = field_texts(observations)
+    words = cut(field_words(every))
+    rows = cut(members.join(words, "video_id").join(weights(words), ["ord", "word"]).select(*own, "word", "weight"))
+    named = members.join(every, "video_id").select(*own, "field", "text")
+    texts = cut(rows.groupBy(*own).agg(F.sum("weight").alias("total")).join(named, own))
     other = rows.select("subject_id", "ord", "word", F.col("grp").alias("grp2"), F.col("pos").alias("pos2"))
     different = (F.col("grp") != F.col("grp2")) | (F.col("pos") != F.col("pos2"))
     wanted = (F.col("grp") == F.col("grp2")) | (F.col("grp2") == "user")

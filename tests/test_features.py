@@ -134,13 +134,13 @@ def test_sections_of_the_whole_report(spark, tmp_path):
 
     rows = queries.full_report(spark, SF)
     report.write_report(rows, str(tmp_path))
-    back = spark.read.parquet(f"{tmp_path}/report")
+    back = report.read_report(spark, str(tmp_path))
     got = back.collect()
     assert len(got) == 10 and {r.status for r in got} <= {"success", "partial"}
     sections = [f.name for f in rows.schema.fields if f.dataType.typeName() == "struct"]
     assert len(sections) == 14
     for name in sections:
-        assert spark.read.parquet(f"{tmp_path}/{name}").count() == sum(r[name] is not None for r in got) > 0
+        assert report.read_report(spark, str(tmp_path), name).count() == sum(r[name] is not None for r in got) > 0
     lost = [r for r in got if "The intro could not be acquired." in r.warnings]
     for r in got:
         assert (r.vision is None) == (r in lost) and r.semantic_comparison.status == "not_ready"

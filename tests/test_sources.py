@@ -124,3 +124,12 @@ def test_evidence(spark):
     assert {(r.video_id, r.method) for r in evidence.best_method(rows, ["clip", "page"]).collect()} == {("v", "page"), ("w", "clip")}
     rates = {(r.method, r.platform): r.failure_rate for r in evidence.failure_rates(rows.withColumn("platform", F.lit("p"))).collect()}
     assert rates["clip", "p"] == 0.5 and rates[None, None] == 0.25
+
+
+def test_small_pictures_are_measured_a_few_at_a_time(spark):
+    """A picture of 8 x 8 has a grid of 14,400 cells, so that ten thousand at once would take over a gigabyte."""
+    bound = frames.at_once(8, 8) * frames.GRID_HEIGHT * frames.GRID_WIDTH * 8
+    assert bound <= frames.AT_ONCE and frames.at_once(10_000, 10_000) == 1
+    pixels = spark.range(300).selectExpr("cast(id as string) video_id", "cast(id as int) frame_no", "8 height", "8 width", "3 nChannels", "unhex(repeat(lpad(hex(id % 256), 2, '0'), 192)) data")
+    rows = {r.frame_no: r for r in frames.frame_metrics(pixels).select("frame_no", "luma", F.size("gray_grid").alias("n"), F.array_max("gray_grid").alias("high")).collect()}
+    assert len(rows) == 300 and all((r.luma, r.n, r.high) == (i % 256, 14_400, i % 256) for i, r in rows.items())

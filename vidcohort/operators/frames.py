@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 GRID_WIDTH, GRID_HEIGHT = 160, 90
 KIND = "video_id string, frame_no int, luma double, mean_hue double, valid_px long, gray_grid array<float>"
-#: Bytes of pictures that are measured at once.
-AT_ONCE = 16 << 20
+#: Bytes that are measured at once: the pixels of some pictures and the grids that come of them.
+AT_ONCE = 4 << 20
 
 
 def gray(bgr: np.ndarray) -> np.ndarray:
@@ -48,13 +48,18 @@ def measured(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return levels.mean(axis=(1, 2)), mean, n, shrink(levels).reshape(len(images), -1).astype(np.float32)
 
 
+def at_once(height: int, width: int) -> int:
+    """How many pictures of one size are measured at once; a small picture still has a whole grid of doubles."""
+    return max(1, AT_ONCE // max(height * width * 3, GRID_HEIGHT * GRID_WIDTH * 8))
+
+
 def frame_metrics(frames: DataFrame) -> DataFrame:
     """Mean gray, mean hue of saturated pixels and the gray grid of each frame of three channels."""
 
     def run(batches):
         for b in batches:
             for (h, w), same in b.groupby(["height", "width"], sort=False):
-                step = max(1, AT_ONCE // (h * w * 3))
+                step = at_once(h, w)
                 for i in range(0, len(same), step):
                     part = same.iloc[i : i + step]
                     images = np.frombuffer(b"".join(part["data"]), np.uint8).reshape(-1, h, w, 3)

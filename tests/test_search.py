@@ -64,3 +64,25 @@ def test_no_words_and_empty_tables(spark):
     assert search.search(asked, heads.where("false"), 3).count() == 0
     assert search.search(asked.where("false"), heads, 3).count() == 0
     assert heads.where(F.size("words") > 0).count() == 1
+
+
+def test_overlaps_of_copies(spark, monkeypatch):
+    """Every pair is there with its number of words, though words are compared once for each pair of different word sets only."""
+    from vidcohort.operators import cohort
+
+    monkeypatch.setattr(cohort, "PART", 16)
+    rng = random.Random(3)
+    some = ["", None, "!", *[" ".join(rng.choices("abcdefg", k=rng.randint(1, 5))) for _ in range(30)]]
+    asked = [(f"s{i}", 0, x) for i, x in enumerate(some[:20])] + [(f"c{i}", 1, "a B") for i in range(60)]
+    shown = [(f"v{i}", x) for i, x in enumerate(some)] + [(f"w{i}", "b a h") for i in range(200)]
+    queries = spark.createDataFrame(asked, "subject_id string, qpos int, query string")
+    videos = spark.createDataFrame(shown, "video_id string, title string")
+    words = lambda x: set((x or "").replace("!", "").lower().split())
+    want = sorted((s, p, v, len(words(q) & words(x))) for s, p, q in asked for v, x in shown if words(q) & words(x))
+    got = cohort.token_overlap(queries, videos)
+    assert sorted(map(tuple, got.collect())) == want and dict(got.dtypes)["overlap"] == "bigint"
+    asked_classes, titles = (cohort.word_classes(d, c, n, *k)[0] for d, c, n, k in ((queries, "query", "asked", ["subject_id", "qpos"]), (videos, "title", "title", ["video_id"])))
+    assert {r.n for r in titles.collect()} == {1, 13} and cohort.class_pairs(asked_classes, titles).count() * 10 < len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    assert cohort.token_overlap(queries.where("false"), videos).count() == cohort.token_overlap(queries, videos.where("false")).count() == 0

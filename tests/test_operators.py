@@ -65,6 +65,20 @@ def test_thousands_of_rules(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_texts_are_not_dealt_by_gram(spark):
+    """However large the texts and whatever Spark knows of their size, no exchange carries them."""
+    rules = spark.createDataFrame([(0, ["common word"], "a"), (1, None, "b")], "ord int, keywords array<string>, name string")
+    texts = spark.range(200).selectExpr("id", "concat(id, ' common wor', if(id % 2 = 0, 'd', 't')) text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = rulematch.matches(texts, rules)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert sorted(tuple(r) for r in found.collect()) == [(i, 0) for i in range(0, 200, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def observation(video, **fields):
     return (video, "success" if fields else "failed", *[fields.get(n) for n in semantic.FIELDS])
 

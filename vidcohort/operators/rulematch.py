@@ -2,8 +2,8 @@
 
 A keyword is a substring of the text, not a word of it. Rules may be many thousands, so they are rows and not part of the plan:
 each keyword is indexed by its first ``Q`` characters (all of it, if it is shorter). A text is read once; of its distinct
-q-grams only those that lead some keyword are kept, they join the keywords, and each of the few pairs that are left is
-verified. The text itself is not shuffled, and is repeated only for the grams that are kept.
+q-grams only those that lead some keyword are kept, they join the keywords, which are broadcast (no more than the rules have), and
+each of the few pairs that are left is verified. The text itself is not shuffled, and is repeated only for the grams that are kept.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def matches(texts: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = F.flatten(F.array(F.array(F.lit("")), *[grams(text, n) for n in sorted(sizes) if n]))
     kept = texts.select(key, text.alias("text"), F.explode(F.array_intersect(own, led)).alias("gram"))
-    return kept.join(words, "gram").where(F.contains("text", "keyword")).select(key, "ord").distinct()
+    # the rules go to the texts: dealt by gram, all texts with a common one would be in one task
+    return kept.join(F.broadcast(words), "gram").where(F.contains("text", "keyword")).select(key, "ord").distinct()
 
 
 def first_rule(texts: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -129,3 +130,13 @@ def test_malformed_responses_are_put_aside(spark, tmp_path):
     }
     counts = {r.f: tuple(r)[2:] for r in ingest.quality(rows).select(name, "*").collect()}
     assert counts["good.json"] == (2, 0, 0, 0, 0) and counts["mixed.json"] == (1, 0, 0, 2, 1) and counts["cut.json"] == (0, 1, 0, 0, 0)
+
+
+def test_equal_texts_are_taken_apart_once(spark):
+    """Sixty videos with two texts: the words are counted as often as there are videos, but come from two rows."""
+    rows = [(f"v{i}", 0, "red Car") for i in range(50)] + [(f"w{i}", 0, "red wall!") for i in range(10)] + [("w0", 0, "red wall!"), ("x", 0, "?"), ("y", 0, None), ("z", 1, "red")]
+    texts = spark.createDataFrame(rows, "video_id string, ord int, text string")
+    found = semantic.weights(texts)
+    assert {(r.ord, r.word): r.weight for r in found.collect()} == {(0, "red"): 0, (0, "car"): 1, (0, "wall"): 5, (1, "red"): 1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode.*\n(.*\n)*?.*Aggregate \[ord#\d+, text#\d+\]", plan)

@@ -5,8 +5,8 @@ Texts are compared field by field as weighted word sets: a word weighs as many t
 their common words over the weight of all their words. Of each group the medoid is taken, the text that is most similar to
 the others of its group; the subject's distance to both medoids then tells its position in that field.
 
-A subject has at most a few members a group, so that every comparison is a join by (subject, field, word) between few rows; the
-weights are counted over all observations with map-side sums. No text meets a text of another subject.
+A subject has at most a few members a group, so that every comparison is a join by (subject, field) between few rows, each with its
+weighted words; the weights are counted over all observations with map-side sums. No text meets a text of another subject.
 """
 
 from __future__ import annotations
@@ -30,15 +30,17 @@ def field_texts(observations: DataFrame, key: str = "video_id") -> DataFrame:
     return observations.where("status = 'success'").select(key, F.explode(fields).alias("f")).select(key, "f.*")
 
 
-def field_words(texts: DataFrame, key: str = "video_id") -> DataFrame:
-    """(key, ord, word) of texts (key, ord, text); a text without words has no row."""
-    return texts.select(key, "ord", F.explode(t.word_set(F.col("text"))).alias("word"))
+def field_words(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, word) of texts (keys, text); a text without words has no row."""
+    return texts.select(*keys, F.explode(t.word_set(F.col("text"))).alias("word"))
 
 
-def weights(words: DataFrame, key: str = "video_id") -> DataFrame:
-    """(ord, word, weight) over all observations."""
-    per_word = words.groupBy("ord", "word").agg(F.count("*").alias("df"))
-    per_field = words.groupBy("ord").agg(F.count_distinct(key).alias("n"))  # a row a field
+def weights(texts: DataFrame, key: str = "video_id") -> DataFrame:
+    """(ord, word, weight) over all observations' texts (key, ord, text); equal texts of a field are taken apart once."""
+    equal = texts.groupBy("ord", "text").agg(F.count("*").alias("n"))
+    per_word = field_words(equal, "ord", "n").groupBy("ord", "word").agg(F.sum("n").alias("df"))
+    some = texts.where(F.lower(t.text(F.col("text"))).rlike("[a-z0-9]"))  # has a word
+    per_field = some.groupBy("ord").agg(F.count_distinct(key).alias("n"))  # a row a field
     return per_word.join(per_field, "ord").select("ord", "word", F.floor(F.col("n") / F.col("df")).alias("weight"))
 
 
@@ -46,26 +48,28 @@ def field_positions(members: DataFrame, observations: DataFrame) -> DataFrame:
     """(subject_id, ord, field, top_medoid, lower_medoid, top_distance, lower_distance, position).
 
     ``members`` has subject_id, grp (user, top or lower), pos and video_id. Only fields in which the subject has words; a medoid and its
-    distance are null if nobody in the group has. Ties go to the first member.
+    distance are null if nobody in the group has. Ties go to the first member. Only members' texts are kept as words, in one row a text.
     """
     own = ["subject_id", "ord", "grp", "pos"]
-    every = field_texts(observations)
-    words = cut(field_words(every))
-    rows = cut(members.join(words, "video_id").join(weights(words), ["ord", "word"]).select(*own, "word", "weight"))
-    named = members.join(every, "video_id").select(*own, "field", "text")
-    texts = cut(rows.groupBy(*own).agg(F.sum("weight").alias("total")).join(named, own))
-    other = rows.select("subject_id", "ord", "word", F.col("grp").alias("grp2"), F.col("pos").alias("pos2"))
+    # a row becomes hundreds of words: dealt to all tasks, however few bytes it has
+    tasks = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = cut(field_texts(observations.repartition(tasks, "video_id")))
+    named = cut(members.repartition(tasks, "video_id").join(every, "video_id").select(*own, "field", "text"))
+    weighed = field_words(named, *own).join(cut(weights(every)), ["ord", "word"]).repartition(tasks, "subject_id", "ord")
+    sums = weighed.groupBy(*own).agg(F.sum("weight").alias("total"), F.collect_list(F.struct("word", "weight")).alias("words"))
+    texts = cut(sums.join(named, own))
+    other = texts.select("subject_id", "ord", F.col("grp").alias("grp2"), F.col("pos").alias("pos2"), F.col("total").alias("total2"), F.col("words").alias("words2"))
     different = (F.col("grp") != F.col("grp2")) | (F.col("pos") != F.col("pos2"))
     wanted = (F.col("grp") == F.col("grp2")) | (F.col("grp2") == "user")
-    common = rows.join(other, ["subject_id", "ord", "word"]).where(different & wanted).groupBy(*own, "grp2", "pos2").agg(F.sum("weight").alias("both"))
-    totals = texts.select("subject_id", "ord", F.col("grp").alias("grp2"), F.col("pos").alias("pos2"), F.col("total").alias("total2"))
-    alike = common.join(texts.drop("text", "field"), own).join(totals, ["subject_id", "ord", "grp2", "pos2"])
+    met = texts.join(other, ["subject_id", "ord"]).where(different & wanted)
+    met = met.withColumn("common", F.explode(F.array(F.array_intersect("words", "words2")))).where(F.size("common") > 0)
+    alike = met.select(*own, "grp2", "total", "total2", F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x["weight"]).alias("both"))
     alike = alike.withColumn("alike", F.col("both") / (F.col("total") + F.col("total2") - F.col("both")))
     scores = alike.groupBy(*own).agg(
         F.sum(F.when(F.col("grp2") != "user", F.col("alike"))).alias("score"), F.max(F.when(F.col("grp2") == "user", F.col("alike"))).alias("to_user")
     )
     best = Window.partitionBy("subject_id", "ord", "grp").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "pos")
-    medoids = texts.where("grp <> 'user'").join(scores, own, "left").withColumn("place", F.row_number().over(best)).where("place = 1")
+    medoids = texts.drop("words").where("grp <> 'user'").join(scores, own, "left").withColumn("place", F.row_number().over(best)).where("place = 1")
     side = lambda g, c: F.max(F.when(F.col("grp") == g, c))
     far = 1 - F.coalesce("to_user", F.lit(0.0))
     sides = medoids.groupBy("subject_id", "ord").agg(

@@ -56,14 +56,14 @@ def field_positions(members: DataFrame, observations: DataFrame) -> DataFrame:
     every = cut(field_texts(observations.repartition(tasks, "video_id")))
     named = cut(members.repartition(tasks, "video_id").join(every, "video_id").select(*own, "field", "text"))
     weighed = field_words(named, *own).join(cut(weights(every)), ["ord", "word"]).repartition(tasks, "subject_id", "ord")
-    sums = weighed.groupBy(*own).agg(F.sum("weight").alias("total"), F.collect_list(F.struct("word", "weight")).alias("words"))
-    texts = cut(sums.join(named, own))
+    sums = weighed.groupBy(*own).agg(F.sum("weight").alias("total"), F.collect_list(F.concat_ws(" ", F.col("weight").cast("string"), "word")).alias("words"))
+    texts = cut(sums.join(named, own))  # each word behind its weight, as one string: texts meet by hashing, not word by word
     other = texts.select("subject_id", "ord", F.col("grp").alias("grp2"), F.col("pos").alias("pos2"), F.col("total").alias("total2"), F.col("words").alias("words2"))
     different = (F.col("grp") != F.col("grp2")) | (F.col("pos") != F.col("pos2"))
     wanted = (F.col("grp") == F.col("grp2")) | (F.col("grp2") == "user")
     met = texts.join(other, ["subject_id", "ord"]).where(different & wanted)
     met = met.withColumn("common", F.explode(F.array(F.array_intersect("words", "words2")))).where(F.size("common") > 0)
-    alike = met.select(*own, "grp2", "total", "total2", F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x["weight"]).alias("both"))
+    alike = met.select(*own, "grp2", "total", "total2", F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + F.substring_index(x, " ", 1).cast("bigint")).alias("both"))
     alike = alike.withColumn("alike", F.col("both") / (F.col("total") + F.col("total2") - F.col("both")))
     scores = alike.groupBy(*own).agg(
         F.sum(F.when(F.col("grp2") != "user", F.col("alike"))).alias("score"), F.max(F.when(F.col("grp2") == "user", F.col("alike"))).alias("to_user")

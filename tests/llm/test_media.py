@@ -137,6 +137,24 @@ def test_a_recording_that_is_near_locally_only(spark, small, crowd):
     assert {i: found.get(i, i) for i in prints} == components(prints, links)
 
 
+@pytest.mark.parametrize("crowd,small", [(8, 48), (8, 4), (4096, 48)])
+def test_recordings_that_share_a_crowded_integer_only(spark, crowd, small):
+    """Pairs have three equal bytes at one integer alone, which all recordings share; its key is crowded or not."""
+    rng = np.random.default_rng(13)
+    prints = {}
+    for k in range(20):
+        base = rng.integers(0, 2**32, 10, dtype=np.uint32)
+        base[5] = 77
+        other = base ^ np.uint32(0x101)
+        other[5] = 77
+        prints |= {2 * k: base, 2 * k + 1: other}
+    links = brute_links(prints)
+    assert len(links) == 20
+    df = spark.createDataFrame([(i, p.view(np.int32).tolist()) for i, p in prints.items()], "id long, ints array<int>")
+    found = {r.node: r.component for r in md.connected_components(md.links(df, crowd, small)).collect()}
+    assert {i: found.get(i, i) for i in prints} == components(prints, links)
+
+
 def test_histogram_of_offsets_and_errors():
     rng = np.random.default_rng(12)
     for n, m in ((1, 1), (5, 9), (40, 33), (700, 900)):

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vidcohort.llm import media as md
@@ -155,6 +156,39 @@ def test_recordings_that_share_a_crowded_integer_only(spark, crowd, small):
     assert {i: found.get(i, i) for i in prints} == components(prints, links)
 
 
+@pytest.mark.parametrize("crowd,small", [(4096, 48), (4096, 4), (8, 4)])
+def test_overlaps_longer_than_a_row_holds(spark, crowd, small):
+    """Recordings that agree around their keys, as far as a row holds them, and for some pairs beyond."""
+    rng = np.random.default_rng(14)
+    n = 6 * md.WIDE
+    base = rng.integers(0, 2**32, n, dtype=np.uint32)
+    prints = {}
+    for i in range(12):
+        own = base.copy()
+        own[: n // 2] = np.random.default_rng(i % 3).integers(0, 2**32, n // 2, dtype=np.uint32)
+        own ^= (np.uint32(1) << rng.integers(0, 32, n, dtype=np.uint32)) * (rng.random(n) < 0.5)
+        prints[i] = own[i:] if i % 2 else own
+    links = {(i, j) for i in prints for j in prints if i < j and i % 3 == j % 3}
+    for i, j in ((0, 3), (0, 1), (2, 5)):
+        assert (min(md.overlap_error(prints[i], prints[j], o) for o in range(-n, n)) <= md.MAX_ERROR) == ((i, j) in links)
+    df = spark.createDataFrame([(i, p.view(np.int32).tolist()) for i, p in prints.items()], "id long, ints array<int>")
+    found = {r.node: r.component for r in md.connected_components(md.links(df, crowd, small)).collect()}
+    assert {i: found.get(i, i) for i in prints} == components(prints, links)
+
+
+def test_at_most_one_link_a_recording_from_each_task():
+    """A group of near copies gives as many rows as it has recordings, and what the rows show to be too different gives none."""
+    rng = np.random.default_rng(15)
+    base, far = rng.integers(0, 2**32, (2, 22), dtype=np.uint32)
+    far[8:15] = base[8:15]
+    prints = [base ^ (np.uint32(1) << rng.integers(0, 32, 22, dtype=np.uint32)) for _ in range(100)] + [far ^ np.uint32(1 << k) for k in range(3)]
+    rows = [{"part": 0, "key": 7, "id": i, "pos": 11, "rest": 10, "around": p.view(np.int32)} for i, p in enumerate(prints)]
+    for small in (48, 1000):
+        got = md._candidates(pd.DataFrame(rows), small)
+        assert got["sure"].all() and len(got) == 101
+        assert set(zip(got["a"], got["b"])) == {(0, i) for i in range(1, 100)} | {(100, 101), (100, 102)}
+
+
 def test_histogram_of_offsets_and_errors():
     rng = np.random.default_rng(12)
     for n, m in ((1, 1), (5, 9), (40, 33), (700, 900)):

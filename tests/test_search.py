@@ -86,3 +86,21 @@ def test_overlaps_of_copies(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
     assert cohort.token_overlap(queries.where("false"), videos).count() == cohort.token_overlap(queries, videos.where("false")).count() == 0
+
+
+def test_pairs_of_copies_are_not_shuffled(spark, monkeypatch):
+    """Only word sets are dealt, with all that have them; the pairs are made behind the last shuffle, whatever the shares and parts."""
+    from vidcohort.operators import cohort
+
+    for name, n in (("PART", 8), ("ASKED", 3), ("SHARE", 20)):
+        monkeypatch.setattr(cohort, name, n, raising=False)
+    asked = [(f"s{i}", i % 2, ("a b", "b c d", "e")[i % 3]) for i in range(50)]
+    shown = [(f"v{i}", ("b", "a b c", "f", "c e")[i % 4]) for i in range(300)]
+    queries, videos = spark.createDataFrame(asked, "subject_id string, qpos int, query string"), spark.createDataFrame(shown, "video_id string, title string")
+    got = cohort.token_overlap(queries, videos)
+    want = sorted((s, p, v, len(set(q.split()) & set(x.split()))) for s, p, q in asked for v, x in shown if set(q.split()) & set(x.split()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
+    executed = got._jdf.queryExecution().executedPlan().toString()
+    first, last = (next(x for x in executed.splitlines() if "Generate explode(" + c in x) for c in ("transform", "title"))
+    assert "*(" not in first and "*(" in last  # queries are handed on one by one, never all rows of a join at once

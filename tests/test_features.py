@@ -147,6 +147,28 @@ def test_sections_of_the_whole_report(spark, tmp_path):
         assert r not in lost or {x.user_value for x in r.patterns.feature_comparison} == {"unknown"}
 
 
+def test_sections_are_not_broadcast(spark):
+    """Tables with a row a subject or a video are small as files, but not as rows: none of them may be sent whole to every executor."""
+    import re
+
+    from tests.conftest import SF
+    from vidcohort.plans import queries
+
+    plan = queries.report_values(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert not [x for x in joins if re.search(r"\[(subject_id|video_id|video_no)#", x)]
+
+
+def test_gathered_tables(spark):
+    from vidcohort.sources.stored import gathered
+
+    one = spark.createDataFrame([("a", 1, [1]), ("b", None, None)], "k string, x int, y array<int>")
+    two = spark.createDataFrame([("b", "p"), ("c", None)], "k string, z string")
+    got = {r.k: r for r in gathered("k", {"one": one, "two": two, "none": two.where("false")}).collect()}
+    assert {k: (r.one, r.two, r.none) for k, r in got.items()} == {"a": ((1, [1]), None, None), "b": ((None, None), ("p",), None), "c": (None, (None,), None)}
+    assert gathered("k", {"one": one, "two": two})._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
 def test_job_states(spark):
     rows = [(1, 1, "queued"), (1, 3, "extracting"), (1, 2, "acquiring"), (2, 1, "failed"), (2, 2, "acquiring"), (3, 5, "x"), (4, 1, "partial"), (4, 2, "complete"), (4, 3, None)]
     got = {r.job_id: (r.state, r.reports, r.finished) for r in jobs.current(spark.createDataFrame(rows, "job_id long, seq long, state string")).collect()}

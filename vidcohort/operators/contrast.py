@@ -75,7 +75,7 @@ def feature_contrast(users: DataFrame, dominants: DataFrame) -> DataFrame:
 
     rows = users.select("subject_id", "feature_ord", "feature", F.col("value").alias("user_value"))
     for grp in ("top", "lower"):
-        rows = rows.join(side(grp), ["subject_id", "feature"], "left")
+        rows = rows.join(side(grp).hint("merge"), ["subject_id", "feature"], "left")
         rows = rows.withColumns({
             f"{grp}_dominant_value": F.coalesce(f"{grp}_dominant_value", F.lit(UNKNOWN)), f"{grp}_evidence_count": F.coalesce(f"{grp}_evidence_count", F.lit(0)),
             f"{grp}_evidence_total": F.coalesce(f"{grp}_evidence_total", F.lit(0)), f"{grp}_is_dominant": F.coalesce(f"{grp}_is_dominant", F.lit(False)),
@@ -119,7 +119,7 @@ def confidence(subjects: DataFrame, members: DataFrame, contrast: DataFrame) ->
     counts = contrast.groupBy("subject_id").agg(
         of(*SIGNALS).alias("usable"), of("aligned_with_top").alias("aligned"), of("missing_winning_feature").alias("missing"), of("risk_signal").alias("risks"),
     )
-    rows = subjects.select("subject_id").join(n, "subject_id", "left").join(counts, "subject_id", "left")
+    rows = subjects.select("subject_id").join(n.hint("merge"), "subject_id", "left").join(counts.hint("merge"), "subject_id", "left")
     rows = rows.fillna(0, ["top_count", "lower_count", "n_top", "n_lower", "usable", "aligned", "missing", "risks"])
     t, low, u = F.col("top_count"), F.col("lower_count"), F.col("usable")
     level = F.when((t >= 3) & (low >= 3) & (u >= 2), "moderate").when((t >= 2) & (low >= 2) & (u >= 1), "limited").otherwise("low")

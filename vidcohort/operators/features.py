@@ -108,7 +108,7 @@ def intro_features(frames: DataFrame, key: str = "video_no") -> DataFrame:
 
 def feature_summary(videos: DataFrame, features: DataFrame, key: str = "video_no") -> DataFrame:
     """A summary for each video: unknown classes and no scene changes, where it has no frame."""
-    rows = videos.join(features, key, "left")
+    rows = videos.join(features.hint("merge"), key, "left")
     changes = F.coalesce("scene_changes", "scene_change_count", F.lit(0))
     fixed = {"frames_analyzed": F.coalesce("frames_analyzed", F.lit(0)), "scene_changes": changes, "scene_change_count": F.coalesce("scene_change_count", changes)}
     return rows.withColumns(fixed | {c: F.coalesce(c, F.lit(UNKNOWN)) for c in CLASSES})

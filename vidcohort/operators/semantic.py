@@ -54,14 +54,14 @@ def field_positions(members: DataFrame, observations: DataFrame) -> DataFrame:
     # a row becomes hundreds of words: dealt to all tasks, however few bytes it has
     tasks = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = cut(field_texts(observations.repartition(tasks, "video_id")))
-    named = cut(members.repartition(tasks, "video_id").join(every, "video_id").select(*own, "field", "text"))
+    named = cut(members.repartition(tasks, "video_id").join(every.hint("merge"), "video_id").select(*own, "field", "text"))
     weighed = field_words(named, *own).join(cut(weights(every)), ["ord", "word"]).repartition(tasks, "subject_id", "ord")
     sums = weighed.groupBy(*own).agg(F.sum("weight").alias("total"), F.collect_list(F.concat_ws(" ", F.col("weight").cast("string"), "word")).alias("words"))
-    texts = cut(sums.join(named, own))  # each word behind its weight, as one string: texts meet by hashing, not word by word
+    texts = cut(sums.join(named.hint("merge"), own))  # each word behind its weight, as one string: texts meet by hashing, not word by word
     other = texts.select("subject_id", "ord", F.col("grp").alias("grp2"), F.col("pos").alias("pos2"), F.col("total").alias("total2"), F.col("words").alias("words2"))
     different = (F.col("grp") != F.col("grp2")) | (F.col("pos") != F.col("pos2"))
     wanted = (F.col("grp") == F.col("grp2")) | (F.col("grp2") == "user")
-    met = texts.join(other, ["subject_id", "ord"]).where(different & wanted)
+    met = texts.join(other.hint("merge"), ["subject_id", "ord"]).where(different & wanted)
     met = met.withColumn("common", F.explode(F.array(F.array_intersect("words", "words2")))).where(F.size("common") > 0)
     alike = met.select(*own, "grp2", "total", "total2", F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + F.substring_index(x, " ", 1).cast("bigint")).alias("both"))
     alike = alike.withColumn("alike", F.col("both") / (F.col("total") + F.col("total2") - F.col("both")))
@@ -69,7 +69,7 @@ def field_positions(members: DataFrame, observations: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("grp2") != "user", F.col("alike"))).alias("score"), F.max(F.when(F.col("grp2") == "user", F.col("alike"))).alias("to_user")
     )
     best = Window.partitionBy("subject_id", "ord", "grp").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "pos")
-    medoids = texts.drop("words").where("grp <> 'user'").join(scores, own, "left").withColumn("place", F.row_number().over(best)).where("place = 1")
+    medoids = texts.drop("words").where("grp <> 'user'").join(scores.hint("merge"), own, "left").withColumn("place", F.row_number().over(best)).where("place = 1")
     side = lambda g, c: F.max(F.when(F.col("grp") == g, c))
     far = 1 - F.coalesce("to_user", F.lit(0.0))
     sides = medoids.groupBy("subject_id", "ord").agg(
@@ -78,7 +78,7 @@ def field_positions(members: DataFrame, observations: DataFrame) -> DataFrame:
     near = F.when(F.col("top_distance").isNull() | F.col("lower_distance").isNull(), "unknown").when(F.col("top_distance") < F.col("lower_distance"), "closer_to_top")
     near = near.when(F.col("top_distance") > F.col("lower_distance"), "closer_to_lower").otherwise("equal")
     users = texts.where("grp = 'user'").select("subject_id", "ord", "field")
-    return users.join(sides, ["subject_id", "ord"], "left").withColumn("position", near)
+    return users.join(sides.hint("merge"), ["subject_id", "ord"], "left").withColumn("position", near)
 
 
 def comparison(subjects: DataFrame, positions: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def comparison(subjects: DataFrame, positions: DataFrame) -> DataFrame:
     differs = F.when(known & (F.col("top_medoid") != F.col("lower_medoid")), told(F.concat("field", F.lit(": top '"), "top_medoid", F.lit("', lower '"), "lower_medoid", F.lit("'"))))
     placed = F.when(known, told(F.concat("field", F.lit(": "), "position")))
     lists = [F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"]).alias(n) for c, n in ((differs, "semantic_differences"), (placed, "user_position"))]
-    rows = subjects.select("subject_id").join(positions.groupBy("subject_id").agg(*lists), "subject_id", "left")
+    rows = subjects.select("subject_id").join(positions.groupBy("subject_id").agg(*lists).hint("merge"), "subject_id", "left")
     ready: Column = F.size(F.coalesce("user_position", F.array().cast("array<string>"))) > 0
     none = F.array().cast("array<string>")
     return rows.select(

@@ -73,7 +73,7 @@ def _context(spark: SparkSession, sf: str, videos: DataFrame | None = None) -> D
 def _intros(spark: SparkSession, sf: str, videos: DataFrame) -> DataFrame:
     """(subject_id, video_no, acquisition_status, n_frames, warnings) of the subjects' own intros."""
     subjects = _numbered(spark, sf, fixtures.subjects(videos)).select("subject_id", "video_no")
-    return subjects.join(fixtures.intro_evidence(spark, sf), "video_no", "left")
+    return subjects.join(fixtures.intro_evidence(spark, sf).hint("merge"), "video_no", "left")
 
 
 def _answers(spark: SparkSession, sf: str, videos: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def full_report(spark: SparkSession, sf: str) -> DataFrame:
     recent = cut(_recent(spark, sf, videos))
     intros = cut(_intros(spark, sf, videos))
     name = F.concat(F.lit("frame_"), F.lpad(F.col("frame_no").cast("string"), 3, "0")).alias("origin")
-    seen = intros.join(fixtures.frame_metrics(spark, sf).select("video_no", "frame_no", name), "video_no").select("subject_id", "frame_no", "origin")
+    seen = intros.join(fixtures.frame_metrics(spark, sf).select("video_no", "frame_no", name).hint("merge"), "video_no").select("subject_id", "frame_no", "origin")
     return report.run(
         fixtures.subjects(videos), videos, fixtures.channels(videos), recent, _context(spark, sf, videos), _users(spark, sf, videos), _benchmarks(spark, sf, videos),
         intros, _answers(spark, sf, videos), seen, observations=fixtures.video_observations(spark, sf, videos),

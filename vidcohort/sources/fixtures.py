@@ -23,7 +23,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("l_orderkey").alias("comments"),
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    return parts.join(lines, F.col("l_partkey") == F.col("p_partkey")).select(
+    return parts.join(lines.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_partkey").alias("k"),
         F.concat(F.lit("v"), F.lpad(F.col("p_partkey").cast("string"), 10, "0")).alias("video_id"),
         F.concat("p_name", F.lit(" | "), "p_type", F.lit(" - m"), F.substring("p_brand", 7, 100)).alias("title"),

@@ -130,7 +130,7 @@ def video_context(requests: DataFrame, videos: DataFrame, channels: DataFrame, r
     asked = requests.withColumn("video_id", F.coalesce(t.video_id_loose(F.col("url")), F.trim("url")))
     c = channels.select("channel_id", F.col("title").alias("channel_name"), F.col("subscribers"))
     n = recent.groupBy("channel_id").agg(F.count("*").alias("recent_count"))
-    rows = asked.join(videos.select("video_id", "title", "views", "channel_id", F.lit(True).alias("found")), "video_id", "left")
+    rows = asked.join(videos.select("video_id", "title", "views", "channel_id", F.lit(True).alias("found")).hint("merge"), "video_id", "left")
     rows = rows.join(c, "channel_id", "left").join(n, "channel_id", "left")
     status = F.when(F.col("found").isNull(), "failed").when(F.col("channel_name").isNull(), "failed").otherwise("success")
     return rows.select("subject_id", "video_id", "title", "views", "channel_id", "channel_name", "subscribers", F.coalesce("recent_count", F.lit(0)).alias("recent_count"), status.alias("status"))
@@ -154,7 +154,7 @@ def observations(intros: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 
     An intro without frames has failed, whatever the answers say; so has one without an answer.
     """
-    said = parse_observations(intros.select(key, "n_frames").join(answers.select(key, "text"), key, "left"), [key, "n_frames"])
+    said = parse_observations(intros.select(key, "n_frames").join(answers.select(key, "text").hint("merge"), key, "left"), [key, "n_frames"])
     no_frames = F.coalesce("n_frames", F.lit(0)) <= 0
     fields = [F.when(~no_frames, F.col(n)).alias(n) for n in OBSERVATION.names[:-1]]
     return said.select(
